@@ -3,7 +3,8 @@
 Of all document rates r with sum(size * r) equal to each source's target, the one of least relative entropy to the
 unmixed corpus, words as its measure, is an exponential tilt of the source's multiplier: r = exp(multiplier). The dual
 is convex and separates by source once words are pre-aggregated, so its Newton iterations run side by side for all
-sources in one expression. Rates are then rounded into copies by systematic sampling in order of size.
+sources in one expression. Rates are then rounded into copies: classes of like size get whole numbers of copies, with
+what they miss carried on to the next smaller class, and deal them out evenly along their rows.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
 MOST = 3
 NEWTON_STEPS = 64
 TOLERANCE = 1e-13
 #: Rows that a salt of a source and size class holds about, and the fewest salts.
 SALT_ROWS = 1_000_000
 SALTS = 32
-#: Rates are rounded to multiples of 1 / GRID, so that the ranks' arithmetic is exact.
-GRID = 1 << 24
 
 
 def size_of(text: str = "text") -> Column:
@@ -70,31 +71,48 @@ def mix(docs: DataFrame) -> DataFrame:
     return _copies(docs.select("doc_id", "source", size_of().alias("size"))).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _class_copies(rate, classes):
+    """Copies of each size class, the largest first: array<struct(class, n, copies)>.
+
+    A class gets the whole number of copies nearest to its words at the rate and to what the classes before it left
+    over or took too much, so that the copies of small texts make up for those of large ones.
+    """
+    begin = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<class:int,n:bigint,copies:bigint>>").alias("done"))
+
+    def step(state, c):
+        mean = c["words"] / c["n"]
+        want = rate * c["words"] + state["carry"]
+        exact = F.when(c["words"] > 0, want / F.greatest(mean, F.lit(1e-9))).otherwise(rate * c["n"])
+        copies = F.least(F.greatest(F.rint(exact), F.floor(rate) * c["n"]), F.ceil(rate) * c["n"]).cast("long")
+        return F.struct((want - copies * mean).alias("carry"), F.concat(state["done"], F.array(F.struct(c["class"].alias("class"), c["n"].alias("n"), copies.alias("copies")))).alias("done"))
+
+    return F.aggregate(classes, begin, step)["done"]
+
+
 def _copies(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, source, size and more) with source_size, target and copies."""
+    """rows (doc_id, source, size and more) with source_size, target and copies. rows are written once, without texts."""
     # size class: eight to each doubling
-    klass = F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int")
-    by = rows.withColumn("__class", klass)
+    by = cut(rows.withColumn("__class", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int")))
     counts = by.groupBy("source", "__class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    totals = counts.groupBy("source").agg(F.sum("words").alias("source_size"))
+    # a source has a few hundred classes, whatever its rows
+    listed = F.sort_array(F.collect_list(F.struct(F.col("__class").alias("class"), "n", "words")), asc=False)
+    sources = cut(counts.groupBy("source").agg(F.sum("words").alias("source_size"), listed.alias("classes")))
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST)), F.exp(multiplier(F.col("source_size").cast("double"), F.col("target"))))).otherwise(F.lit(1.0))
-    rates = source_targets(totals).withColumn("__rate", F.round(rate * GRID).cast("long"))
-    salts = counts.select("source", "__class", F.greatest(F.lit(SALTS), F.ceil(F.col("n") / SALT_ROWS)).alias("salts"))
-    # a class's salts depend only on its own rows; the narrow join replicates a number
-    salted = by.join(salts.select(F.col("source").alias("__s"), F.col("__class").alias("__c"), "salts"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")))
-    salted = salted.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.col("salts"))).drop("__s", "__c", "salts")
+    # rates that differ by the last bits of a number give the same copies
+    rates = source_targets(sources.select("source", "source_size")).withColumn("rate", F.round(rate, 9))
+    rates = rates.join(sources.select(F.col("source").alias("__s"), "classes"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    planned = rates.select(F.col("source").alias("__s"), "source_size", "target", F.explode(_class_copies(F.col("rate"), F.col("classes"))).alias("c"))
+    planned = planned.select("__s", "source_size", "target", F.col("c.class").alias("__c"), F.col("c.n").alias("__n"), F.col("c.copies").alias("__k"))
+    joined = by.join(planned, by["source"].eqNullSafe(planned["__s"]) & (by["__class"] == planned["__c"])).drop("__s", "__c")
+    salted = joined.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(SALTS), F.ceil(F.col("__n") / SALT_ROWS))))
     cells = salted.groupBy("source", "__class", "__salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("source", "__class", "__salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    starts = starts.join(rates.withColumnRenamed("source", "__r"), F.col("source").eqNullSafe(F.col("__r"))).drop("__r")
-    starts = starts.select(F.col("source").alias("__s"), F.col("__class").alias("__c"), F.col("__salt").alias("__t"), "__before", "source_size", "target", "__rate")
+    before = Window.partitionBy("source", "__class").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select(F.col("source").alias("__s"), F.col("__class").alias("__c"), F.col("__salt").alias("__t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("source", "__class", "__salt").orderBy("size", "doc_id")))
     placed = ranked.join(starts, ranked["source"].eqNullSafe(starts["__s"]) & (ranked["__class"] == starts["__c"]) & (ranked["__salt"] == starts["__t"]))
-    upto = F.col("__before") + F.col("__rank")
-    steps = lambda k: F.expr(f"(({k}) % {GRID}) * (__rate % {GRID}) div {GRID} + (({k}) div {GRID}) * (__rate % {GRID})")
-    placed = placed.withColumn("__upto", upto)
-    copies = F.expr(f"__rate div {GRID}") + steps("__upto") - steps("__upto - 1")
-    return placed.withColumn("copies", copies.cast("long")).drop("__class", "__salt", "__before", "__rate", "__rank", "__upto", "__s", "__c", "__t")
+    placed = placed.withColumn("__upto", F.col("__before") + F.col("__rank"))
+    copies = F.expr("__upto * __k div __n - (__upto - 1) * __k div __n")
+    return placed.withColumn("copies", copies).drop("__class", "__salt", "__before", "__rank", "__upto", "__s", "__c", "__t", "__n", "__k")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
