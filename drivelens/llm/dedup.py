@@ -5,9 +5,10 @@ Every shingle of a text starts a Poisson process whose rate is the shingle's cou
 probability Jaccard similarity of their shingle counts. Bands of registers propose pairs, which the exact similarity
 of the shingle counts then confirms.
 
-Groups are never expanded into all pairs. Equal texts are one node. In a bucket, every node is compared with the
-smallest and the largest node; what remains unconnected in buckets of four nodes or more is compared in blocks, where
-pairs that are connected already are skipped.
+Groups are never expanded into all pairs. Equal texts are one node. In a bucket, every node is compared with the hub,
+the node that meets most others over all its buckets, and with the one that meets fewest. What these leave unconnected
+in a bucket of four nodes or more is compared with every node of the bucket, in blocks, where pairs that are connected
+already are skipped.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 REGISTERS = 64
 BAND_ROWS = 4
-#: Nodes of a bucket that one task compares with as many others.
-BLOCK = 128
+#: Nodes of a bucket that meet what is not connected with them in one task.
+BLOCK = 512
 #: Pairs whose registers agree less than this far below the wanted similarity (four standard deviations) are not verified in blocks.
 SLACK = 0.2
 _SLICE, _DOCS = 1 << 22, 2048
@@ -144,15 +145,18 @@ def band_keys(texts: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.int64()))
 
 
-@F.arrow_udf(T.StructType([T.StructField("hashes", T.BinaryType()), T.StructField("weights", T.BinaryType())]))
+@F.arrow_udf(T.StructType([T.StructField(n, T.BinaryType()) for n in ("hashes", "weights", "signature")]))
 def shingle_arrays(texts: pa.Array) -> pa.Array:
-    hashes, weights = [], []
+    """Sorted shingles of each text, their counts, and 32 bits of each register."""
+    hashes, weights, registers = [], [], []
     for n, (text, shingle, weight) in _slices(texts):
         ends = np.searchsorted(text, np.arange(n + 1))
+        found = signatures(text, shingle, weight, n).astype(np.uint32)
         for i in range(n):
             hashes.append(shingle[ends[i] : ends[i + 1]].tobytes())
             weights.append(weight[ends[i] : ends[i + 1]].astype(np.uint32).tobytes())
-    return pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array(weights, pa.binary())], ["hashes", "weights"])
+            registers.append(found[i].tobytes())
+    return pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in (hashes, weights, registers)], ["hashes", "weights", "signature"])
 
 
 def _counts(hashes: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -165,40 +169,52 @@ def exact_similarity(ha: pa.Array, wa: pa.Array, hb: pa.Array, wb: pa.Array) ->
     return pa.array([probability_jaccard(*_counts(a, x), *_counts(b, y)) for a, x, b, y in rows], pa.float64())
 
 
-def _signature(hashes: bytes, weights: bytes) -> np.ndarray:
-    h, w = _counts(hashes, weights)
-    return signatures(np.zeros(len(h), np.int64), h, w.astype(np.int64), 1)[0]
-
-
 def _compare_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between the nodes of two blocks of a bucket (or within one), as a forest: pairs connected already are skipped."""
+    """Links of the nodes that ask (side 1) with those of a block (side 0), as a forest: pairs connected already are skipped.
+
+    An index from shingles to the block's nodes gives what an asking node shares with each of them. Where all counts
+    are 1 that is the similarity; for the other pairs whose registers come near it, it is computed.
+    """
     rows = rows.reset_index(drop=True)
-    signature = np.stack([_signature(h, w) for h, w in zip(rows["hashes"], rows["weights"], strict=True)])
+    counted = [_counts(h, w) for h, w in zip(rows["hashes"], rows["weights"], strict=True)]
+    signature = np.stack([np.frombuffer(s, np.uint32) for s in rows["signature"]])
     _, label = np.unique(rows["label"].map(bytes), return_inverse=True)
-    side = rows["side"].to_numpy()
-    same = bool((rows["i"] == rows["j"]).iloc[0])
-    found = []
-    for p in range(len(rows)):
-        others = np.flatnonzero((label != label[p]) & ((np.arange(len(rows)) > p) if same else (side == 1)))
-        if not same and side[p] == 1 or not len(others):
-            continue
-        close = others[(signature[others] == signature[p]).mean(1) >= SIMILARITY - SLACK]
-        for q in close:
-            if label[p] != label[q] and probability_jaccard(*_counts(rows["hashes"][p], rows["weights"][p]), *_counts(rows["hashes"][q], rows["weights"][q])) >= SIMILARITY:
+    side, size = rows["side"].to_numpy(), np.array([len(h) for h, _ in counted])
+    plain = np.array([bool((w == 1).all()) for _, w in counted])
+    block, found = np.flatnonzero(side == 0), []
+    index = np.concatenate([counted[q][0] for q in block] or [np.zeros(0, np.uint64)])
+    order = np.argsort(index, kind="stable")
+    index, owner = index[order], np.repeat(np.arange(len(block)), size[block])[order]
+    for p in np.flatnonzero(side == 1):
+        low, high = np.searchsorted(index, counted[p][0], "left"), np.searchsorted(index, counted[p][0], "right")
+        n = high - low
+        shared = np.bincount(owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(block))
+        apart = label[block] != label[p]
+        simple = plain[block] & plain[p]
+        for q in block[apart & simple & (shared >= SIMILARITY * (size[p] + size[block] - shared))]:
+            if label[p] != label[q]:
+                found.append((rows["node"][p], rows["node"][q]))
+                label[label == label[q]] = label[p]
+        for q in block[apart & ~simple & (shared > 0)]:
+            if label[p] != label[q] and (signature[q] == signature[p]).mean() >= SIMILARITY - SLACK and probability_jaccard(*counted[p], *counted[q]) >= SIMILARITY:
                 found.append((rows["node"][p], rows["node"][q]))
                 label[label == label[q]] = label[p]
     return pd.DataFrame(found, columns=["a", "b"])
 
 
-def _links(docs: DataFrame, exact: DataFrame) -> DataFrame | None:
-    """(node, component) of all nodes that have a link; None if no bucket holds two nodes. docs: doc_id, text, node."""
+def _links(docs: DataFrame, exact: DataFrame) -> DataFrame:
+    """(node, component) of all nodes that have a link. docs: doc_id, text, node."""
     bands = docs.select("node", F.explode(band_keys("text")).alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    members = cut(bands.join(buckets, "key").groupBy("key", "node").agg(F.first("low").alias("low"), F.first("high").alias("high")))
-    needed = members.select("node").distinct().join(exact, "node").select("node", F.col("first_id").alias("doc_id"))
+    buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    shared = cut(bands.join(buckets.select("key", "n"), "key").groupBy("key", "node").agg(F.first("n").alias("n")))
+    meets = shared.groupBy("node").agg(F.struct(F.sum("n").alias("meets"), "node").alias("order"))
+    placed = shared.join(meets, "node").select("key", "node", "order")
+    ends = placed.groupBy("key").agg(F.max("order")["node"].alias("hub"), F.min("order")["node"].alias("far"))
+    members = cut(placed.select("key", "node").join(ends, "key"))
+    needed = meets.select("node").join(exact, "node").select("node", F.col("first_id").alias("doc_id"))
     same = (docs["node"] == needed["node"]) & docs["doc_id"].eqNullSafe(needed["doc_id"])
     texts = docs.join(needed, same, "inner").select(docs["node"], docs["doc_id"], docs["text"]).dropDuplicates(["node", "doc_id"])
-    shingles = cut(texts.select("node", shingle_arrays("text").alias("s")).select("node", "s.hashes", "s.weights"))
+    shingles = cut(texts.select("node", shingle_arrays("text").alias("s")).select("node", "s.*"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = shingles.select(F.col("node").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
@@ -206,21 +222,21 @@ def _links(docs: DataFrame, exact: DataFrame) -> DataFrame | None:
         both = pairs.join(left, "b").join(right, "a")
         return both.select("a", "b", exact_similarity("ha", "wa", "hb", "wb").alias("s")).filter(F.col("s") >= SIMILARITY).select("a", "b")
 
-    edges = cut(verified(members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()))
+    edges = cut(verified(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()))
     groups = connected_components(edges)
     labelled = members.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    high = groups.select(F.col("node").alias("high"), F.col("component").alias("of_high"))
-    apart = labelled.filter("node <> low and node <> high").join(high, "high", "left").filter(F.col("label") != F.coalesce("of_high", "high"))
-    edges = edges.unionByName(cut(verified(apart.select(F.col("high").alias("a"), F.col("node").alias("b")).distinct())))
+    of_far = groups.select(F.col("node").alias("far"), F.col("component").alias("of_far"))
+    apart = labelled.filter("node <> hub and node <> far").join(of_far, "far", "left").filter(F.col("label") != F.coalesce("of_far", "far"))
+    edges = edges.unionByName(cut(verified(apart.select(F.col("far").alias("a"), F.col("node").alias("b")).distinct())))
     groups = connected_components(edges)
-    labelled = members.select("key", "node").join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    open_buckets = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("n >= 4 and x <> y")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = labelled.join(open_buckets.select("key", blocks.alias("blocks")), "key").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", "node", "label", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side")
-    )
-    rest = spread.join(shingles, "node").groupBy("key", "i", "j").applyInPandas(_compare_block, "a binary, b binary")
+    labelled = members.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    open_buckets = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("largest")).filter("n >= 4 and labels > 1")
+    rows = labelled.join(open_buckets.select("key", "largest", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    # every node lies in one block; those outside of the bucket's largest group ask all of its blocks
+    data = rows.select("key", "node", "label", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"))
+    asked = rows.filter("label <> largest").select("key", "node", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
+    rest = data.unionByName(asked).join(shingles, "node").groupBy("key", "block").applyInPandas(_compare_block, "a binary, b binary")
     edges = edges.unionByName(cut(rest.distinct()))
     return connected_components(edges)
 
