@@ -113,27 +113,33 @@ def word_hashes(offsets: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, counts
 
 
+#: Edges that one task of a step of connected_components takes.
+TASK_EDGES = 250_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of an edge is connected to.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join, until the edges stop changing;
-    every step's edges are checkpointed. Self-loops and repeated edges are harmless; no edges give no rows.
+    every step's edges are checkpointed. Tasks are as many as the edges need, for each writes files for all others.
+    Self-loops and repeated edges are harmless; no edges give no rows.
     """
     e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
     before = None
     for _ in range(limit):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u")
-        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = cut(small.distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, tasks = now, max(1, -(-now[0] // TASK_EDGES))
+        e = e.coalesce(tasks)
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
+        joined = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u").coalesce(tasks)
+        # every neighbour and the node itself go to the smallest
+        small = joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v")
+        e = cut(small.distinct().coalesce(tasks))
     else:
         raise RuntimeError("components did not settle")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

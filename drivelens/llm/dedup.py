@@ -223,9 +223,10 @@ def _links(docs: DataFrame, exact: DataFrame) -> DataFrame:
         return both.select("a", "b", exact_similarity("ha", "wa", "hb", "wb").alias("s")).filter(F.col("s") >= SIMILARITY).select("a", "b")
 
     edges = cut(verified(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()))
-    groups = connected_components(edges)
-    labelled = members.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    of_far = groups.select(F.col("node").alias("far"), F.col("component").alias("of_far"))
+    # nodes with a hub in common need no comparison
+    linked = edges.unionByName(edges.select("a", F.col("a").alias("b"))).groupBy("b").agg(F.min("a").alias("label"))
+    labelled = members.join(linked.withColumnRenamed("b", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_far = linked.select(F.col("b").alias("far"), F.col("label").alias("of_far"))
     apart = labelled.filter("node <> hub and node <> far").join(of_far, "far", "left").filter(F.col("label") != F.coalesce("of_far", "far"))
     edges = edges.unionByName(cut(verified(apart.select(F.col("far").alias("a"), F.col("node").alias("b")).distinct())))
     groups = connected_components(edges)
