@@ -118,13 +118,13 @@ def _copies(rows: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    key = [F.xxhash64("doc_id", "source", "text").alias("__k"), F.hash("text", "source", "doc_id").alias("__h")]
+    key = [F.xxhash64("doc_id", "source", "text").alias("__key"), F.hash("text", "source", "doc_id").alias("__hash")]
     # only ids and sizes are shuffled to rank the rows; the copies come back to the texts by their keys
     counts = _copies(docs.select("doc_id", "source", size_of().alias("size"), *key))
-    counts = counts.groupBy("__k", "__h").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    joined = docs.select(*own, *key).join(counts, ["__k", "__h"])
+    counts = counts.groupBy("__key", "__hash").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    joined = docs.select(*own, *key).join(counts, ["__key", "__hash"])
     # repeated rows share their copies, dealt out in turn
-    turn = F.row_number().over(Window.partitionBy("__k", "__h").orderBy("__rows"))
+    turn = F.row_number().over(Window.partitionBy("__key", "__hash").orderBy("__rows"))
     extra = F.when(turn <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
     share = joined.withColumn("__n", (F.expr("__copies div __rows") + extra).cast("int")).filter("__n > 0")
     return share.select(*own, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).select(*own)

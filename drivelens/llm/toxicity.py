@@ -39,6 +39,8 @@ CALIBRATION = 25
 BINS = 2000
 REACH = 0.5
 THRESHOLD = 0.7
+#: Labels, of a dozen bytes each, that are sent to all tasks at most.
+BROADCAST_LABELS = 2_000_000
 #: Words that a counting task gathers before it passes their counts on, and bits of a word's number.
 BUFFER = 1 << 21
 BITS = 18
@@ -167,7 +169,9 @@ def fit_model(labelled: DataFrame) -> KneserNey:
 
     is_toxic = F.col("fold") % 2 == 1
     by_class = [agg for c, x in ((is_toxic, "t"), (~is_toxic, "o")) for agg in (F.sum(F.when(c, F.col("n")).otherwise(0)).alias(x), F.sum(F.when(c, 1).otherwise(0)).alias(f"k{x}"))]
-    in_folds = counted.mapInArrow(lambda x: _counted(x, pair_keys), schema).groupBy("key", "fold").agg(F.sum("n").alias("n"))
+    # tasks have summed what they saw: dealt out by key once, counts are summed by fold and then by class in place
+    dealt = counted.mapInArrow(lambda x: _counted(x, pair_keys), schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    in_folds = dealt.groupBy("key", "fold").agg(F.sum("n").alias("n"))
     pairs = in_folds.groupBy("key").agg(*by_class).persist(StorageLevel.DISK_ONLY)
     split = pairs.select(F.shiftright("key", BITS).alias("first"), F.col("key").bitwiseAND((1 << BITS) - 1).alias("second"), "t", "o", "kt", "ko")
     # a word's continuations: in how many contexts of its folds each class has it
@@ -260,9 +264,14 @@ def score_toxicity(docs: DataFrame, model: KneserNey) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of labelled documents whose crc32(doc_id as text) modulo 3 is not 1; an id's label is its largest."""
-    marks = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").filter(id_remainder("doc_id", 3) != 1).join(marks, "doc_id")
+    """doc_id, text, toxic of labelled documents whose crc32(doc_id as text) modulo 3 is not 1; an id's label is its largest.
+
+    Up to BROADCAST_LABELS labels go to the texts; more are joined by a shuffle of both.
+    """
+    marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_remainder("doc_id", 3) != 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    if labels.count() <= BROADCAST_LABELS:
+        marks = F.broadcast(marks)
+    return docs.select("doc_id", "text").join(marks, "doc_id")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
