@@ -75,9 +75,9 @@ def confusion(truth: DataFrame, run: DataFrame, grid: int = GRID_NS, keys=("sess
     A span has its length over the grid, rounded half to even, midpoints; one that reaches its end is left out.
     """
     n = F.rint((F.col("end") - F.col("start")) / F.lit(float(grid))).cast("int")
-    points = truth.withColumn("__n", n).filter("__n > 0").select(*keys, "start", "end", F.col("label").alias("gt"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("k"))
-    points = points.withColumn("t", F.col("start") + F.col("k").cast("long") * grid + grid // 2).filter("t < `end`").select(*keys, "t", "gt")
-    found = intervals.label_at(points, run.select(*keys, "start", "end", "label"), list(keys), "t", "run", "(none)")
+    points = truth.withColumn("__n", n).filter("__n > 0").select(*keys, "start", "end", F.col("label").alias("gt"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__k"))
+    points = points.withColumn("__at", F.col("start") + F.col("__k").cast("long") * grid + grid // 2).filter("__at < `end`").select(*keys, F.col("__at").alias("at"), "gt")
+    found = intervals.label_at(points, run.select(*keys, "start", "end", "label"), list(keys), "at", "run", "(none)")
     return found.groupBy(*keys, "gt", "run").agg(F.count("*").alias("n"))
 
 
