@@ -133,7 +133,8 @@ def _best(nearest: int):
             # a stable sort keeps ties in the order of ids
             top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
             value = np.take_along_axis(scores, top, 1)
-            keep = value > -np.inf
+            # rows below what a query has found already can't be among its nearest
+            keep = (value > -np.inf) & (value >= part["least"].to_numpy()[:, None])
             out.append(pd.DataFrame({"query_id": np.repeat(part["vec_id"].to_numpy(), k)[keep.ravel()], "vec_id": ids[top].ravel()[keep.ravel()], "score": value.ravel()[keep.ravel()]}))
         found = pd.concat(out)
         return found.assign(curve=np.int32(rows["curve"].iloc[0]))
@@ -142,14 +143,17 @@ def _best(nearest: int):
 
 
 def _search(ranked: DataFrame, queries: DataFrame, blocks: int, reach: int, nearest: int) -> DataFrame:
-    """(query_id, vec_id, score, met): the nearest rows of each query in its windows, and on how many curves each was met."""
+    """(query_id, vec_id, score, met): the nearest rows of each query in its windows, and on how many curves each was met.
+
+    queries: vec_id and least, the score of the last of its nearest rows in narrower windows.
+    """
     first, last = F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(blocks - 1))
     if reach >= blocks:
         # such windows hold every row of any curve: one is enough
         ranked = ranked.filter("curve = 0")
     slots = -(-min(2 * reach + 1, blocks) // SPAN)
-    asked = ranked.join(queries, "vec_id", "left_semi").select("curve", "vec_id", "v", F.explode(F.sequence(first, last)).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int").alias("slot"), F.lit(1).alias("query"))
-    data = ranked.select("curve", "vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.lit(0).alias("query"))
+    asked = ranked.join(queries, "vec_id").select("curve", "vec_id", "v", F.explode(F.sequence(first, last)).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int").alias("slot"), F.lit(1).alias("query"), "least")
+    data = ranked.select("curve", "vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.lit(0).alias("query"), F.lit(None).cast("double").alias("least"))
     found = data.unionByName(asked).groupBy("curve", "block", "slot").applyInPandas(_best(nearest), "query_id long, vec_id long, score double, curve int")
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.countDistinct("curve").alias("met"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -181,16 +185,18 @@ def nearest_rows(vectors: DataFrame, is_query, nearest: int = NEAREST, curves: i
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * curves)
     ranked = cut(_ranked(keyed, partitions))
     blocks = -(-total // BLOCK)
-    left = rows.filter(is_query).select("vec_id")
+    left = rows.filter(is_query).select("vec_id", F.lit(float("-inf")).alias("least"))
     done, reach = [], REACH
     while True:
         found = cut(_search(ranked, left, blocks, reach, nearest))
         if reach >= blocks:
             done.append(found)
             break
-        doubt = found.groupBy("query_id").agg(F.count("*").alias("n"), F.sum((F.col("met") < 2).cast("int")).alias("once"))
-        left = cut(doubt.filter(F.col("once") > F.col("n") * UNCONFIRMED).select(F.col("query_id").alias("vec_id")))
-        done.append(found.join(left, found["query_id"] == left["vec_id"], "left_anti"))
+        doubt = found.groupBy("query_id").agg(F.count("*").alias("n"), F.sum((F.col("met") < 2).cast("int")).alias("once"), F.min("score").alias("least"))
+        doubt = doubt.filter((F.col("once") > F.col("n") * UNCONFIRMED) | (F.col("n") < nearest))
+        # wider windows hold the narrower ones, so what was found is found again
+        left = cut(doubt.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= nearest, F.col("least")).otherwise(F.lit(float("-inf"))).alias("least")))
+        done.append(found.join(left.select("vec_id").withColumnRenamed("vec_id", "query_id"), "query_id", "left_anti"))
         if left.isEmpty():
             break
         reach = min(reach * GROWTH, blocks)
