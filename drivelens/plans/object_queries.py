@@ -218,13 +218,18 @@ def boxes(spark, sf):
     return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("line"), F.row_number().over(w).alias("pos"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (1 + F.col("l_tax") * 50).alias("w"))
 
 
+def _bodies(rows: pd.DataFrame) -> np.ndarray:
+    x, y, w = (rows[c].to_numpy(float) for c in ("x", "y", "w"))
+    return geometry.rectangles(x, y, np.zeros(len(rows)), np.full(len(rows), 4.0), w)
+
+
 @query("ge05_share", f"WITH {BOXES} SELECT frame, line, pos, round(greatest(least(x + 2, 30) - greatest(x - 2, 10), 0) * greatest(least(y + w / 2, 6) - greatest(y - w / 2, 2), 0) / (4 * w), 6) AS share FROM bx")
 def ge05(spark, sf):
     lane = np.array([(10.0, 2.0), (30.0, 2.0), (30.0, 6.0), (10.0, 6.0)])
 
     def run(batches):
         for rows in batches:
-            share = [geometry.overlap_area(lane, geometry.rectangle(x, y, 0.0, 4.0, w)) / (4 * w) for x, y, w in zip(rows["x"], rows["y"], rows["w"], strict=True)]
+            share = geometry.overlap_areas(lane, _bodies(rows)) / (4 * rows["w"].to_numpy())
             yield rows[["frame", "line", "pos"]].assign(share=np.round(share, 6))
 
     return boxes(spark, sf).mapInPandas(run, "frame long, line int, pos long, share double")
@@ -242,7 +247,7 @@ def ge07(spark, sf):
 
     def run(batches):
         for rows in batches:
-            far = [geometry.clearance(geometry.rectangle(x, y, 0.0, 4.0, w), ego) for x, y, w in zip(rows["x"], rows["y"], rows["w"], strict=True)]
+            far = geometry.clearances(_bodies(rows), ego)
             yield rows[["frame", "line", "pos"]].assign(clearance=np.round(far, 6))
 
     return boxes(spark, sf).mapInPandas(run, "frame long, line int, pos long, clearance double")
