@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import small_batches
+
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
 
@@ -139,9 +141,7 @@ def _long_pieces(keyed: DataFrame, pattern: str, chunk: int, overlap: int) -> Da
     seam = F.array_min(F.array_intersect(F.lag("s.tail").over(order), "s.head"))
     placed = found.select("key", "k", "start", "last", "part", seam.alias("from"))
     ends = placed.select("*", F.lead("from").over(order).alias("to"), F.bool_and(F.col("k").eqNullSafe(0) | F.col("from").isNotNull()).over(Window.partitionBy("key")).alias("whole"))
-    begin = F.coalesce(F.col("from"), F.lit(0))
     good = ends.filter("whole").select("key", "k", F.expr("substring(part, cast(coalesce(`from`, 0) - start + 1 as int), cast(coalesce(`to`, start + length(part)) - coalesce(`from`, 0) as int))").alias("piece"))
-    del begin
     lost = ends.filter("not whole and k = 0").select("key").join(keyed, "key").select("key", F.lit(0).alias("k"), F.col("text").alias("piece"))
     return good.unionByName(lost).repartition(n, "key", "k")
 
@@ -152,6 +152,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk: int
     Null and empty texts have no ids. Input columns of the same names are replaced, other extra columns stay; repeated
     rows each get their result; an empty table stays empty. Only texts longer than a chunk are shuffled.
     """
+    small_batches(docs.sparkSession)
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
     kept = [c for c in docs.columns if c not in names]
     own = [F.col(f"`{c}`") for c in kept]

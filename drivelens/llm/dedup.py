@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut, mix64, spans_of_bytes, utf8_parts, word_hashes
+from .common import connected_components, cut, mix64, small_batches, spans_of_bytes, utf8_parts, word_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -250,6 +250,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     class each, with node null; texts without a word belong together only if they are equal. Repeated rows and ids
     stay rows of their own. Other columns are not read; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", "text", F.when(F.length("text") > 0, F.unhex(F.md5(F.col("text").cast("binary")))).alias("node"))
     filled = keyed.filter("node is not null")
     exact = cut(filled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))

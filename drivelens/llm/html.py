@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, utf8_parts, word_hashes
+from .common import mix64, small_batches, utf8_parts, word_hashes
 
 #: Elements inside a block, elements whose text is never shown, elements without an end.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -441,6 +441,7 @@ def extract_text(pages: DataFrame, labeller: Labeller | None = None, html: str =
     Input columns of the same names are replaced, other extra columns stay; repeated rows each get their result; an
     empty table stays empty. Pages are independent: nothing is shuffled.
     """
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(labeller or default_labeller())
 
     @F.arrow_udf("string")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_remainder, spans_of_bytes, utf8_parts
+from .common import id_remainder, small_batches, spans_of_bytes, utf8_parts
 
 #: Training rows of each language and the largest training text in bytes: these bound what fitting reads.
 ROWS_PER_LANGUAGE = 240
@@ -106,7 +106,6 @@ def fit_trees(texts: list[tuple[str, str]], order: int = ORDER, max_nodes: int =
     for k in range(1, order + 1):
         if not languages:
             break
-        pool = {}
         contexts = np.concatenate([seen[i][k][0] // size for i in range(len(languages))])
         weights = np.concatenate([seen[i][k][1] for i in range(len(languages))])
         unique, inverse = np.unique(contexts, return_inverse=True)
@@ -117,7 +116,6 @@ def fit_trees(texts: list[tuple[str, str]], order: int = ORDER, max_nodes: int =
         room = (max_nodes - total) // 2 if k < order else max_nodes - total
         keep = np.flatnonzero(known & (weight >= 4))
         keep = np.sort(keep[np.lexsort((unique[keep], -weight[keep]))][: max(room, 0)])
-        del pool
         if not len(keep):
             break
         ids = np.arange(total, total + len(keep), dtype=np.int32)
@@ -154,10 +152,17 @@ def fit_trees(texts: list[tuple[str, str]], order: int = ORDER, max_nodes: int =
 def fit_language_model(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, longest: int = LONGEST_TRAINING_TEXT) -> ContextTrees:
     """Fit on at most `rows_per_language` whole texts of each language, none longer than `longest` bytes.
 
-    Rows without text or lang, and rows whose crc32(doc_id as text) is divisible by 5, are never used. The rows with
-    the smallest hashes of their ids are taken, so a rerun takes the same ones.
+    Rows without text or lang, and rows whose crc32(doc_id as text) is divisible by 5, are never used. Hashes
+    of ids and texts choose the rows, so a rerun takes the same ones.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder("doc_id", 5) != 0) & (F.octet_length("text") <= longest))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder("doc_id", 5) != 0))
+    counts = known.groupBy("lang").count().collect()
+    if not counts:
+        return fit_trees([])
+    # a few times as many rows as are wanted pass by their hash, so that few texts are shuffled however many there are
+    part = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 6 * rows_per_language / r["count"])))])
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = known.filter((place < part[F.col("lang")]) & (F.octet_length("text") <= longest))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"))
     ids = rows.select("lang", "doc_id", "text").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows_per_language)
     return fit_trees([(r["lang"], r["text"]) for r in ids.select("lang", "text").collect()])
@@ -175,6 +180,7 @@ def has_letters(offsets: np.ndarray, body: np.ndarray) -> np.ndarray:
 
 def language_udf(spark, model: ContextTrees):
     """A column function from text to struct(lang_pred, score, bits_per_byte)."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 

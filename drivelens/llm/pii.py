@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Kinds in the order that breaks ties of a start. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = 4
@@ -151,6 +153,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans. Input columns of the same names are replaced, other extra columns stay;
     repeated rows each get their result; an empty table stays empty. Rows are independent: no shuffle.
     """
+    small_batches(docs.sparkSession)
     names = [*_FIELDS, "base_sha256", "spans", "max_score"]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     return docs.select(*kept, detect("text").alias("__pii")).select(*kept, *[F.col(f"__pii.{n}").alias(n) for n in names])
@@ -158,6 +161,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced by its kind in angle brackets, and n_chars, if there, counted anew."""
+    small_batches(docs.sparkSession)
     out = docs.withColumn("text", masked("text"))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 

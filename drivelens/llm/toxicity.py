@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, spans_of_bytes, utf8_parts, word_hashes
+from .common import id_remainder, small_batches, spans_of_bytes, utf8_parts, word_hashes
 
 #: Bounds of the model: words and bigrams that it holds at most. They bound what the driver gets and what is broadcast.
 MAX_WORDS = 150_000
@@ -147,6 +147,7 @@ def _at_most(df: DataFrame, count: str, limit: int) -> DataFrame:
 def fit_model(labelled: DataFrame) -> KneserNey:
     """Models of labelled texts (doc_id, text, toxic 0/1). Without a text of either class every score is 0."""
     spark = labelled.sparkSession
+    small_batches(spark)
     rows = labelled.filter(F.col("text").isNotNull() & F.col("toxic").isNotNull()).select("text", "doc_id", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64("doc_id"), F.lit(100)) < CALIBRATION).alias("held"))
     sizes = {r["toxic"]: r["count"] for r in rows.filter("not held").groupBy("toxic").count().collect()}
     # the number of a word's contexts grows more slowly than the texts: each class counts them in folds about as large
@@ -255,6 +256,7 @@ def score_toxicity(docs: DataFrame, model: KneserNey) -> DataFrame:
     Null and empty texts have no evidence and the score of evidence 0. Input columns of the same names are replaced,
     other extra columns stay; repeated rows each get their result; an empty table stays empty. Nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     names = ["evidence", "score", "predicted"]
     own = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     found = docs.select(*own, _evidence_udf(docs.sparkSession, model)("text").alias("evidence"))
