@@ -23,6 +23,10 @@ from .common import mix64, small_batches, utf8_parts, word_hashes
 #: Elements inside a block, elements whose text is never shown, elements without an end.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 HIDDEN = frozenset("script style noscript template iframe object svg math title head canvas audio video textarea".split())
+#: Hidden elements whose content is markup: where the end tag is missing, the page goes on after the start tag.
+MARKUP = frozenset("noscript template object svg math canvas audio video".split())
+#: What may stand in a head; any other start tag or text ends it, as </head> may be omitted.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Which open elements a start tag ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -68,6 +72,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters in links) of each block with text, in page order.
 
     White space is one space and trimmed, character references are decoded. Elements that never show text are skipped.
+    A head ends where something stands that can't be in it; a hidden element of markup without an end hides nothing.
     """
     text = page or ""
     tags: list[str] = []
@@ -76,6 +81,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     parts: list[str] = []
     linked = 0
     path: tuple[str, ...] = ()
+    endless: set[str] = set()
     at = 0
 
     def close_block():
@@ -89,9 +95,17 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 out.append((path, body, min(linked, len(body))))
             parts, linked = [], 0
 
+    def close_head():
+        if "head" in tags:
+            close_block()
+            i = tags.index("head")
+            del tags[i:], names[i:]
+
     def add(piece: str):
         nonlocal linked, path
         if piece:
+            if tags and tags[-1] == "head" and piece.strip(" \t\n\r\f"):
+                close_head()
             if not parts or (not path and names):
                 path = tuple(names)
             parts.append(piece)
@@ -115,6 +129,8 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         tag = m[3].lower()
         if m[2]:
+            if tag in ("body", "html", "br"):
+                close_head()
             if tag not in INLINE:
                 close_block()
             if tag in tags:
@@ -125,6 +141,10 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                     if tags[i] in SCOPE and (tag in INLINE or tag == "p"):
                         break
             continue
+        if tag not in IN_HEAD:
+            close_head()
+        elif tag == "head" and any(t != "html" for t in tags):
+            continue
         if tag == "br":
             add(" ")
             continue
@@ -139,8 +159,13 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                     if tags[i] in SCOPE:
                         break
         if tag in _ENDED and not text.endswith("/", 0, end):
-            close = _ENDED[tag].search(text, at)
-            at = _tag_end(text, close.end()) + 1 if close else len(text)
+            close = None if tag in endless else _ENDED[tag].search(text, at)
+            if close:
+                at = _tag_end(text, close.end()) + 1
+            elif tag in MARKUP:
+                endless.add(tag)
+            else:
+                at = len(text)
             continue
         if tag in VOID or text.endswith("/", 0, end):
             continue

@@ -83,6 +83,22 @@ def test_html_broken_pages(page):
     assert isinstance(html.main_texts([page], html.default_labeller())[0], str)
 
 
+def test_html_head_without_end():
+    texts = lambda page: [t for _, t, _ in html.blocks_of(page)]
+    assert texts("<html><head><title>no</title><meta charset=x><style>p{}</style><body><p>One</p><p>Two</p></body></html>") == ["One", "Two"]
+    assert texts("<head><title>no</title>\n<p>One <b>two</b><head><p>Three") == ["One two", "Three"]
+    assert texts("<html><head><link rel=x>\nBare text<p>More") == ["Bare text", "More"]
+    assert texts("<head> <script>no</script> <b>Bold</b> text") == ["Bold text"]
+    assert all("head" not in p for p, _, _ in html.blocks_of("<head> Text<p>more"))
+
+
+@pytest.mark.parametrize("tag", ["object", "svg", "canvas", "audio", "video", "template", "math", "noscript"])
+def test_html_hidden_element_without_end(tag):
+    assert [t for _, t, _ in html.blocks_of(f"<body><p>One</p><{tag} width=3><p>Two</p><{tag}><p>Three</p>")] == ["One", "Two", "Three"]
+    assert [t for _, t, _ in html.blocks_of(f"<body><p>One</p><{tag}>no</{tag}><p>Two</p><{tag}><p>Three</p>")] == ["One", "Two", "Three"]
+    assert [t for _, t, _ in html.blocks_of("<p>One</p><script>no<p>no")] == ["One"]
+
+
 def test_html_frame(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<article><h1>T</h1><p>Some text here.</p></article>", "x"), (3, "u", "<article><h1>T</h1><p>Some text here.</p></article>", "x")]
     got = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).orderBy("page_id").collect()
