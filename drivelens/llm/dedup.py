@@ -242,6 +242,22 @@ def _links(docs: DataFrame, exact: DataFrame) -> DataFrame:
     return connected_components(edges)
 
 
+def _classes(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, node (md5 of the text), root (the class's smallest node), class_id, class_size."""
+    small_batches(docs.sparkSession)
+    keyed = docs.select("doc_id", "text", F.when(F.length("text") > 0, F.unhex(F.md5(F.col("text").cast("binary")))).alias("node"))
+    filled = keyed.filter("node is not null")
+    exact = cut(filled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    linked = _links(filled, exact).withColumnRenamed("component", "root")
+    rooted = exact.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
+    classes = rooted.select("node", "root").join(classes, "root").select("node", "root", "class_id", "class_size")
+    names = ["doc_id", "node", "root", "class_id", "class_size"]
+    found = filled.select("doc_id", "node").join(classes, "node").select(*names)
+    none = keyed.filter("node is null")
+    return found.unionByName(none.select("doc_id", "node", F.col("node").alias("root"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, node (md5 of the text), class_id, class_size.
 
@@ -250,27 +266,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     class each, with node null; texts without a word belong together only if they are equal. Repeated rows and ids
     stay rows of their own. Other columns are not read; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
-    keyed = docs.select("doc_id", "text", F.when(F.length("text") > 0, F.unhex(F.md5(F.col("text").cast("binary")))).alias("node"))
-    filled = keyed.filter("node is not null")
-    exact = cut(filled.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    linked = _links(filled, exact).withColumnRenamed("component", "root")
-    rooted = exact.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    classes = rooted.select("node", "root").join(classes, "root").select("node", "class_id", "class_size")
-    found = filled.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "class_id", "class_size")
-    return found.unionByName(keyed.filter("node is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+    return _classes(docs).drop("root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each class the row with the smallest doc_id (any one if several have it).
 
-    Null and empty texts all stay. All columns are returned as they came.
+    Classes are told apart by their texts, not by class_id: ids may be null or repeat. Null and empty texts all stay.
+    All columns are returned as they came.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
     node = F.when(F.length("text") > 0, F.unhex(F.md5(F.col("text").cast("binary")))).alias("__node")
-    classes = near_duplicates(docs).filter("node is not null")
-    best = classes.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node")).alias("k"))
+    classes = _classes(docs).filter("node is not null")
+    best = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node")).alias("k"))
     best = best.select(F.col("k.doc_id").alias("__id"), F.col("k.node").alias("__best"))
     keyed = docs.select(*names, node, F.col("doc_id").alias("__own"))
     full = keyed.filter("__node is not null")

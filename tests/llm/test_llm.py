@@ -195,6 +195,15 @@ def test_keep_one(spark, awkward):
     assert len(filled) == len(set(filled)) == len({t for t in AWKWARD if t}) and sum(not t for t in texts) == 4
 
 
+def test_keep_one_tells_classes_apart_by_text(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 60) for _ in range(6)]
+    # null ids on unlike texts; two sources that both count from 0, with a copy and a near copy under another's id
+    rows = [(None, texts[0], "a"), (None, texts[1], "a"), (None, texts[1], "b"), (0, texts[2], "a"), (0, texts[3], "b"), (1, texts[4], "a"), (1, texts[5], "b"), (2, texts[5], "a"), (1, texts[4] + " end", "b")]
+    kept = dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(kept) == 6 and {r["text"].removesuffix(" end") for r in kept} == set(texts)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randint(0, 30), 100 + rng.randint(0, 30)) for _ in range(25)] + [(7, 7)]
