@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import id_remainder, small_batches, spans_of_bytes, utf8_parts
@@ -152,20 +153,28 @@ def fit_trees(texts: list[tuple[str, str]], order: int = ORDER, max_nodes: int =
 def fit_language_model(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, longest: int = LONGEST_TRAINING_TEXT) -> ContextTrees:
     """Fit on at most `rows_per_language` whole texts of each language, none longer than `longest` bytes.
 
-    Rows without text or lang, and rows whose crc32(doc_id as text) is divisible by 5, are never used. Hashes
-    of ids and texts choose the rows, so a rerun takes the same ones.
+    Of a language whose texts are all longer, the shortest are taken, with as many bytes together as those would have
+    at most; of one that exceeds this alone, its beginning. Rows without text or lang, and rows whose crc32(doc_id as
+    text) is divisible by 5, are never used. Hashes of ids and texts choose the rows, so a rerun takes the same ones.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder("doc_id", 5) != 0))
-    counts = known.groupBy("lang").count().collect()
+    size = F.octet_length("text")
+    known = docs.filter(F.col("lang").isNotNull() & (size > 0) & (id_remainder("doc_id", 5) != 0))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count_if(size <= longest).alias("n")).collect()}
     if not counts:
         return fit_trees([])
     # a few times as many rows as are wanted pass by their hash, so that few texts are shuffled however many there are
-    part = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 6 * rows_per_language / r["count"])))])
+    part = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 6 * rows_per_language / max(n, 1))))])
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = known.filter((place < part[F.col("lang")]) & (F.octet_length("text") <= longest))
+    rows = known.filter((place < part[F.col("lang")]) & (size <= longest))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"))
-    ids = rows.select("lang", "doc_id", "text").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows_per_language)
-    return fit_trees([(r["lang"], r["text"]) for r in ids.select("lang", "text").collect()])
+    ids = rows.select("lang", "doc_id", "text").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows_per_language).select("lang", "text")
+    if lengthy := [lang for lang, n in counts.items() if not n]:
+        room = rows_per_language * longest
+        least = Window.partitionBy("lang").orderBy(size, F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"))
+        few = known.filter(F.col("lang").isin(lengthy)).select("lang", "doc_id", "text").withColumn("n", F.row_number().over(least)).filter(F.col("n") <= rows_per_language)
+        few = few.withColumn("total", F.sum(size).over(Window.partitionBy("lang").orderBy("n"))).filter((F.col("n") == 1) | (F.col("total") <= room))
+        ids = ids.unionByName(few.select("lang", F.substring("text", 1, room).alias("text")))
+    return fit_trees([(r["lang"], r["text"]) for r in ids.collect()])
 
 
 def has_letters(offsets: np.ndarray, body: np.ndarray) -> np.ndarray:
@@ -178,6 +187,11 @@ def has_letters(offsets: np.ndarray, body: np.ndarray) -> np.ndarray:
     return out
 
 
+@F.arrow_udf(T.BooleanType())
+def _with_letters(texts: pa.Array) -> pa.Array:
+    return pa.array(has_letters(*utf8_parts(texts)))
+
+
 def language_udf(spark, model: ContextTrees):
     """A column function from text to struct(lang_pred, score, bits_per_byte)."""
     small_batches(spark)
@@ -222,8 +236,15 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 
 def reject_unknown(docs: DataFrame) -> DataFrame:
-    """The documents whose language is recognised, unchanged; those without any letter, or null, are rejected."""
-    found = predict_language(docs, fit_language_model(docs), "__")
+    """The documents whose language is recognised, unchanged; those without any letter, or null, are rejected.
+
+    Where no language could be learned, all documents with a letter stay.
+    """
+    model = fit_language_model(docs)
+    if not model.languages:
+        small_batches(docs.sparkSession)
+        return docs.filter(_with_letters("text"))
+    found = predict_language(docs, model, "__")
     return found.filter(F.col("__lang_pred") != "und").select(*docs.columns)
 
 

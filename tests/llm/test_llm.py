@@ -291,6 +291,23 @@ def test_code_lengths_of_pieces(monkeypatch):
     assert np.allclose(model.code_lengths(*parts), whole)
 
 
+def test_language_of_long_texts_is_learnt(spark):
+    rng = random.Random(9)
+    write = lambda letters, n: " ".join("".join(rng.choices(letters, k=5)) for _ in range(n))
+    # all texts of xx are longer than the bound; those of yy are mostly longer
+    rows = [(i, write("abcdef", 400), "xx") for i in range(30)] + [(100 + i, write("uvwxyz", 400 if i % 10 else 20), "yy") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_language_model(docs, rows_per_language=4, longest=200)
+    assert model.languages == ["xx", "yy"]
+    got = langid.predict_language(docs, model).toPandas()
+    assert langid.accuracy(got) == 1.0
+
+
+def test_nothing_is_rejected_for_want_of_labels(spark):
+    docs = spark.createDataFrame([(1, "words here", None), (2, "123 !", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in langid.reject_unknown(docs).collect()) == [1, 4]
+
+
 def test_language_frame(spark, awkward):
     rng = random.Random(3)
     rows = [(i, sentences(rng, x, 30), x, "s", 1) for i, x in enumerate(list(TONGUES) * 40)]
