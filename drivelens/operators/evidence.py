@@ -63,27 +63,23 @@ def path_heading(line: np.ndarray, length: float, end: bool = False) -> float |
 def branch_sides(approach: np.ndarray, branches: Sequence[np.ndarray]) -> list[tuple[str, float]] | None:
     """LEFT, RIGHT, MIDDLE or UNKNOWN and the angle of each branch of a fork; None if it is no clear fork [WN-24].
 
-    All branches are compared over the length that the shortest has. Branches within 5 degrees of an outermost one
-    make it unknown; nearly parallel or backward branches are no fork.
+    All branches are compared over the length that the shortest has. Nearly parallel or backward branches are no fork.
+    An outermost branch has its side only if the next one is SPREAD_DEG away; branches between are in the middle.
     """
-    common = min([BRANCH_M, *(float(np.linalg.norm(np.diff(b, axis=0), axis=1).sum()) for b in branches)])
-    first = path_heading(approach, APPROACH_M, end=True)
-    headings = [path_heading(b, common) for b in branches] if common >= LEAST_M else [None]
-    if len(branches) < 2 or first is None or any(h is None for h in headings):
+    reach = min(BRANCH_M, *(np.linalg.norm(np.diff(b, axis=0), axis=1).sum() for b in branches)) if len(branches) > 1 else 0.0
+    if reach < LEAST_M:
         return None
-    angles = [math.degrees(float(lanes._wrap(h - first))) for h in headings]
-    low, high = min(angles), max(angles)
-    if high - low < SPREAD_DEG or any(abs(a) >= MOST_DEG for a in angles):
+    headings = np.array([path_heading(approach, APPROACH_M, end=True), *(path_heading(b, float(reach)) for b in branches)], dtype=float)
+    angles = np.degrees(lanes._wrap(headings[1:] - headings[0]))
+    order = np.argsort(angles, kind="stable")
+    gaps = np.diff(angles[order])
+    # a missing heading makes the comparison false
+    if not (gaps.sum() >= SPREAD_DEG and np.abs(angles).max() < MOST_DEG):
         return None
-
-    def side(a: float) -> str:
-        if a == high:
-            return "LEFT" if sum(high - x < SPREAD_DEG for x in angles) == 1 else "UNKNOWN"
-        if a == low:
-            return "RIGHT" if sum(x - low < SPREAD_DEG for x in angles) == 1 else "UNKNOWN"
-        return "MIDDLE"
-
-    return [(side(a), a) for a in angles]
+    names = np.full(len(angles), "MIDDLE", dtype=object)
+    for end, gap, name in ((order[0], gaps[0], "RIGHT"), (order[-1], gaps[-1], "LEFT")):
+        names[angles == angles[end]] = name if gap >= SPREAD_DEG else "UNKNOWN"
+    return list(zip(names.tolist(), angles.tolist(), strict=True))
 
 
 def forks(track: DataFrame, lane_table: DataFrame, edges: DataFrame, keys: Sequence[str] = ("session_id",), order: str = "k", valid: str = "valid") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import asof, intervals, series
-from .lift import EVENTS, HOUR, NUMBERED, SESSION, events, numbered, read
+from .lift import EVENTS, HOUR, NUMBERED, SESSION, STEP, events, numbered, read
 from .registry import query
 
 LEFT, RIGHT = "l AS (SELECT * FROM ev WHERE label <> 'purchase')", "r AS (SELECT sid, t, event_id AS rid, v AS rv FROM ev WHERE label = 'purchase')"
@@ -205,12 +205,19 @@ def wn12(spark, sf):
     return ends.select("sid", F.explode(F.array_distinct(F.concat(regular, F.array("start", "end")))).alias("t_us"))
 
 
-@query("wn13_stream_segments", f"WITH {EVENTS} SELECT sid, count(*) AS n FROM ev GROUP BY sid")
+@query(
+    "wn13_stream_segments",
+    f"""WITH {EVENTS}, sg AS (SELECT *, CAST(sum(gap) OVER (PARTITION BY sid ORDER BY t, event_id) AS BIGINT) AS seg FROM
+      (SELECT *, CASE WHEN 2 * (t - lag(t) OVER (PARTITION BY sid ORDER BY t, event_id)) > {3 * STEP} THEN 1 ELSE 0 END AS gap FROM ev))
+    SELECT CAST(sid AS VARCHAR) AS sid, seg, count(*) AS n, min(t) AS start_us, max(t) AS end_us FROM sg GROUP BY ALL""",
+)
 def stream_segments(spark, sf):
-    """The events' rows a session, as the streaming front end counts them from its source."""
-    from ..streaming.segments import batch_counts
+    """The gap segments of events that arrive as a stream."""
+    from ..streaming.segments import replayed
 
-    return batch_counts(events(spark, sf), "sid")
+    rows = events(spark, sf).select(F.col("sid").alias("session_id"), (F.col("t") * 1000).alias("t_ns"))
+    found = replayed(spark, rows, STEP * 1000)
+    return found.select(F.col("session_id").alias("sid"), "seg", "n", F.expr("start_ns div 1000").alias("start_us"), F.expr("end_ns div 1000").alias("end_us"))
 
 
 @query(

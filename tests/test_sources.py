@@ -135,21 +135,33 @@ def test_benchmark_of_a_late_run(spark, tmp_path):
 
 
 @pytest.mark.parametrize("change", [{"schema_version": "other"}, {"kind": "final"}, {"name": ""}, {"sessions": []}, {"run_configuration": {"gt": {}}}, {"run_configuration": {"late": {}, "more": {}}}])
-def test_benchmark_refuses(tmp_path, change):
+def test_benchmark_refuses(spark, tmp_path, change):
     (tmp_path / "gt.json").write_bytes(document())
     (tmp_path / "late.json").write_bytes(document(1))
     with pytest.raises(ValueError):
-        documents.read_benchmark(manifest(tmp_path, ["late"], **change))
+        documents.read_benchmark(spark, manifest(tmp_path, ["late"], **change))
 
 
-def test_frozen_inputs_are_held_to_their_digest_and_cover(tmp_path):
+def test_frozen_inputs_are_held_to_their_digest_and_cover(spark, tmp_path):
     (tmp_path / "gt.json").write_bytes(document())
-    ref = {"path": "gt.json", "sha256": hashlib.sha256(document()).hexdigest()}
-    start, end = 1_767_000_000 * S, 1_767_000_012 * S
-    assert len(documents.frozen_scenes(tmp_path, ref, start, end)[1]) == 3
-    for bad in ((ref | {"sha256": "0" * 64}, start, end), (ref, start - 1, end), (ref, start, end + 1), ({"path": ""}, start, end)):
-        with pytest.raises(ValueError):
-            documents.frozen_scenes(tmp_path, *bad)
+    (tmp_path / "late.json").write_bytes(document(1))
+    good = json.loads(manifest(tmp_path, ["late"]).read_text())["sessions"][0]
+    scenes = documents.read_benchmark(spark, tmp_path / "manifest.json")[1].filter("run = 'late'").first()["scenes"]
+    assert [s["start_ns"] for s in scenes] == ["0", str(5 * S), str(8 * S)]
+    gt, start, end = good["gt"], int(good["start_ns"]), int(good["end_ns"])
+    bad = {
+        "digest": {"gt": gt | {"sha256": "0" * 64}}, "cover": {"start_ns": str(start - 1)}, "exactly": {"end_ns": str(end + 1)}, "a path": {"gt": {"path": ""}}, "missing": {"gt": gt | {"path": "none.json"}},
+        "order": {"end_ns": good["start_ns"]}, "no id": {"id": " "}, "other runs": {"runs": {}},
+    }
+    for fault, change in bad.items():
+        with pytest.raises(ValueError, match=fault):
+            documents.read_benchmark(spark, manifest(tmp_path, ["late"], sessions=[good | change]))
+    with pytest.raises(ValueError, match="several sessions"):
+        documents.read_benchmark(spark, manifest(tmp_path, ["late"], sessions=[good, good | {"id": "two"}]))
+    for broken in (b'{"scenes": 1}', b"{", document().replace(b"cruising", b" Unknown ")):
+        (tmp_path / "gt.json").write_bytes(broken)
+        with pytest.raises(ValueError, match="form|label"):
+            documents.read_benchmark(spark, manifest(tmp_path, ["late"]))
     with pytest.raises(ValueError):
         documents.write_atomically(tmp_path / "gt.json", b"", (tmp_path / "gt.json",))
 
@@ -180,38 +192,93 @@ def test_without_map():
 
 
 def row(start, end, lateral, *phases):
-    return {"start": start, "end": end, "lateral": lateral, "phases": list(phases) or [(end, "cruising")]}
+    return (start, end, lateral, list(phases) or [(end, "cruising")])
 
 
 THREE = [row(0, 5, "keep_lane"), row(5, 10, "turn_left", (7, "decelerating"), (10, "accelerating")), row(10, 20, "keep_lane")]
+_WHOLE = {"start": "long", "end": "long", "low": "long", "high": "long", "time": "long", "index": "int", "phase": "int", "lateral": "string", "decision": "string"}
 
 
-def test_edits():
-    got = edit.update(THREE, 1, (0, 20), start=6, end=12)
-    assert [(s["start"], s["end"]) for s in got] == [(0, 6), (6, 12), (12, 20)] and got[1]["phases"] == [(7, "decelerating"), (12, "accelerating")]
-    assert [(s["start"], s["end"], s["lateral"]) for s in edit.paint(THREE, 3, 8, "u_turn", bounds=(0, 20))] == [(0, 3, "keep_lane"), (3, 8, "u_turn"), (8, 10, "turn_left"), (10, 20, "keep_lane")]
-    assert edit.paint_lateral(THREE, 4, 8, "u_turn", (0, 20))[1]["phases"] == [(5, "cruising"), (7, "decelerating"), (8, "accelerating")]
-    assert edit.paint_longitudinal(THREE, 6, 8, "stopped", (0, 20))[1]["phases"] == [(6, "decelerating"), (7, "stopped"), (8, "stopped"), (10, "accelerating")]
-    assert [len(edit.split(THREE, 1, t)) for t in (7, 5.05)] == [4, 3] and len(edit.merge_left(THREE, 1)) == 2
-    assert [(s["start"], s["end"]) for s in edit.remove(THREE, 1)] == [(0, 10), (10, 20)]
-    assert edit.split_phase(THREE, 1, 6)[1]["phases"][0] == (6, "decelerating") and edit.remove_phase(THREE, 1, 1)[1]["phases"] == [(10, "decelerating")]
-    assert edit.at(THREE, 7) == ("turn_left", "accelerating") and edit.at(THREE, 20) is None
-    for bad in (lambda: edit.update(THREE, 1, (0, 20), start=float("nan")), lambda: edit.update_phase(THREE, 1, 0, end=10), lambda: edit.update(THREE, 1, (0, 20), start=6, end=6)):
-        with pytest.raises(ValueError):
-            bad()
-    assert THREE[0]["end"] == 5  # edits leave what they are given
+def ns(t):
+    return None if t is None else round(t * S)
+
+
+@pytest.fixture
+def three(spark):
+    rows = [("s", ns(a), ns(b), x, [(ns(e), d) for e, d in p]) for a, b, x, p in THREE]
+    return spark.createDataFrame(rows, f"session_id string, start_ns long, end_ns long, lateral string, phases {edit.PHASES}")
+
+
+def edited(change, scenes, **fields):
+    spark = scenes.sparkSession
+    value = {k: ns(v) if _WHOLE[k] == "long" else v for k, v in fields.items()}
+    asked = spark.createDataFrame([("s", *value.values())], ", ".join(["session_id string", *(f"`{k}` {_WHOLE[k]}" for k in value)]))
+    got = change(scenes, asked).orderBy("start_ns").collect()
+    return [(r["start_ns"] / S, r["end_ns"] / S, r["lateral"], [(p["end_ns"] / S, p["decision"]) for p in r["phases"]]) for r in got]
+
+
+def test_bounds_of_scenes(three):
+    got = edited(edit.update, three, index=1, start=6, end=12, lateral=None, low=0, high=20)
+    assert [(a, b) for a, b, *_ in got] == [(0, 6), (6, 12), (12, 20)] and got[1][3] == [(7, "decelerating"), (12, "accelerating")]
+    assert got[0][3] == [(6, "cruising")] and got[2][3] == [(20, "cruising")]
+    # neighbours that touch keep a tenth of a second, and the session's bounds hold
+    assert [(a, b) for a, b, *_ in edited(edit.update, three, index=1, start=-9, end=None, lateral="u_turn", low=0, high=20)] == [(0, 0.1), (0.1, 10), (10, 20)]
+    assert edited(edit.update, three, index=9, start=1, end=2, lateral=None, low=0, high=20) == THREE
+    with pytest.raises(Exception, match="tenth of a second"):
+        edited(edit.update, three, index=1, start=6, end=6, lateral=None, low=0, high=20)
+
+
+def test_painting(three):
+    got = edited(edit.paint, three, start=3, end=8, lateral="u_turn", low=0, high=20)
+    assert [x[:3] for x in got] == [(0, 3, "keep_lane"), (3, 8, "u_turn"), (8, 10, "turn_left"), (10, 20, "keep_lane")]
+    assert edited(edit.paint, three, start=25, end=30, lateral="u_turn", low=0, high=20) == THREE
+    assert edited(edit.paint_lateral, three, start=4, end=8, lateral="u_turn", low=0, high=20)[1][3] == [(5, "cruising"), (7, "decelerating"), (8, "accelerating")]
+    assert edited(edit.paint_longitudinal, three, start=6, end=8, decision="stopped", low=0, high=20)[1][3] == [(6, "decelerating"), (7, "stopped"), (8, "stopped"), (10, "accelerating")]
+    apart = three.filter("lateral = 'keep_lane'")
+    assert edited(edit.paint_lateral, apart, start=4, end=25, lateral="u_turn", low=0, high=25)[-1] == (4, 25, "u_turn", [(5, "cruising"), (10, "unknown"), (20, "cruising"), (25, "unknown")])
+
+
+def test_splits_and_merges(three):
+    assert [len(edited(edit.split, three, index=1, time=t)) for t in (7, 5.05)] == [4, 3]
+    assert edited(edit.split, three, index=1, time=8)[2] == (8, 10, "turn_left", [(10, "accelerating")])
+    assert edited(edit.merge_left, three, index=1)[0] == (0, 10, "keep_lane", [(5, "cruising"), (7, "decelerating"), (10, "accelerating")])
+    assert edited(edit.merge_left, three, index=0) == THREE
+    assert [x[:2] for x in edited(edit.remove, three, index=1)] == [(0, 10), (10, 20)]
+    assert edited(edit.remove, three, index=0)[0] == (0, 10, "turn_left", THREE[1][3])
+    assert [x[:2] for x in edited(edit.remove, three.filter("start_ns <> 0"), index=0)] == [(5, 20)]
+
+
+def test_phases(three):
+    assert edited(edit.split_phase, three, index=1, time=6)[1][3] == [(6, "decelerating"), (7, "decelerating"), (10, "accelerating")]
+    assert edited(edit.remove_phase, three, index=1, phase=1)[1][3] == [(10, "decelerating")]
+    assert edited(edit.remove_phase, three, index=1, phase=0)[1][3] == [(10, "accelerating")]
+    assert edited(edit.remove_phase, three, index=0, phase=0) == THREE
+    assert edited(edit.update_phase, three, index=1, phase=0, end=6, decision="stopped")[1][3] == [(6, "stopped"), (10, "accelerating")]
+    assert edited(edit.update_phase, three, index=1, phase=1, end=6, decision="stopped")[1][3] == [(7, "decelerating"), (10, "stopped")]
+    with pytest.raises(Exception, match="increase strictly"):
+        edited(edit.update_phase, three, index=1, phase=0, end=10, decision=None)
+
+
+def test_at(spark, three):
+    times = spark.createDataFrame([("s", ns(t)) for t in (7, 20, 5)], "session_id string, time long")
+    got = {r["time"] // S: (r["lateral"], r["decision"], r["phase_end"]) for r in edit.at(three, times).collect()}
+    assert got == {7: ("turn_left", "accelerating", 10 * S), 20: (None, None, None), 5: ("turn_left", "decelerating", 7 * S)}
 
 
-def test_documents_without_phases_join():
-    rows = [{"start_ns": "0", "end_ns": str(S), "lateral": "a", "longitudinal": "x"}, {"start_ns": str(S), "end_ns": str(2 * S), "lateral": "a", "longitudinal": "y"}]
-    assert edit.from_rows(rows) == [row(0, 2, "a", (1, "x"), (2, "y"))]
+def test_edits_leave_other_sessions(spark, three):
+    other = three.withColumn("session_id", F.lit("t"))
+    edits = spark.createDataFrame([("s", 1)], "session_id string, index int")
+    for change in (edit.merge_left, edit.remove):
+        got = change(three.unionByName(other), edits)
+        assert got.filter("session_id = 't'").count() == 3 and got.filter("session_id = 's'").count() == 2
+        assert change(three.limit(0), edits).count() == 0
 
 
-def test_edit_sessions(spark):
-    rows = [("s", 0, 5 * S, "keep_lane", [(5 * S, "cruising")]), ("s", 5 * S, 9 * S, "turn_left", [(9 * S, "cruising")])]
-    df = spark.createDataFrame(rows, "session_id string, start_ns long, end_ns long, lateral string, phases array<struct<end_ns:long,decision:string>>")
-    got = edit.edit_sessions(df, lambda _, scenes: edit.merge_left(scenes, 1)).collect()
-    assert len(got) == 1 and got[0]["end_ns"] == 9 * S and len(got[0]["phases"]) == 2
+def test_documents_without_phases_join(spark):
+    rows = [("s", "0", str(S), "a", "x"), ("s", str(S), str(2 * S), "a", "y"), ("s", str(3 * S), str(4 * S), "a", "y")]
+    df = spark.createDataFrame(rows, "session_id string, start_ns string, end_ns string, lateral string, longitudinal string")
+    got = sorted((r["start_ns"] // S, r["end_ns"] // S, [(p["end_ns"] // S, p["decision"]) for p in r["phases"]]) for r in edit.from_documents(df).collect())
+    assert got == [(0, 2, [(1, "x"), (2, "y")]), (3, 4, [(4, "y")])]
 
 
 def test_review(spark):
