@@ -479,6 +479,25 @@ def test_nearest_rows_recall(spark, monkeypatch):
     assert hits >= 0.9 * 20 * 75
 
 
+def plain_nearest(rows, is_query):
+    """Brute force over rows (id, vector): {query place: [(score, id)]}; a row leaves out itself alone."""
+    good = [(i, np.array(v, float)) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    out = []
+    for a, (i, v) in enumerate(good):
+        if is_query(i):
+            near = sorted((-float(np.add.accumulate(v * w)[-1]), j) for b, (j, w) in enumerate(good) if b != a and len(w) == len(v))[:20]
+            out.append((i, [(j, -s) for s, j in near]))
+    return sorted(x for x in out if x[1])
+
+
+def found_nearest(df, is_query):
+    got = ann.nearest_rows(df, is_query).collect()
+    lists = {}
+    for r in got:
+        lists.setdefault((r["query_id"], r["rank"]), []).append((r["vec_id"], r["score"]))
+    return lists
+
+
 def test_nearest_rows_few(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = ann.nearest_rows(rows, F.col("vec_id") == 0).orderBy("rank").collect()
@@ -486,6 +505,35 @@ def test_nearest_rows_few(spark):
     assert ann.nearest_rows(rows.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_rows_of_ties_repeats_and_widths(spark):
+    rng = np.random.default_rng(3)
+    hot, other = [1.0, 2.0, 0.5], [0.5, 2.0, 1.0]
+    rows = [(i, hot) for i in range(0, 300, 3)] + [(i, other) for i in range(1, 120, 3)] + [(7, hot), (7, other), (0, hot), (40, [3.0]), (60, [2.0]), (61, [-1.0]), (80, [0.0, 0.0])]
+    rows += [(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(400, 460)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"node": F.lit("x"), "score": F.lit(9), "v": F.lit(None)})
+    want = plain_nearest(rows, lambda i: i % 20 == 0)
+    got = found_nearest(df, F.col("vec_id") % 20 == 0)
+    listed = {}
+    for q, near in want:
+        for rank, x in enumerate(near, 1):
+            listed.setdefault((q, rank), []).append(x)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in listed.items()}
+
+
+@pytest.mark.parametrize("scale", [1e6, 1e200])
+def test_nearest_rows_with_one_long_vector(spark, monkeypatch, scale):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16))
+    x = centres[rng.integers(0, 60, 3000)] + 0.2 * rng.normal(size=(3000, 16))
+    x[11] *= scale
+    got = ann.nearest_rows(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).toPandas()
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    hits = sum(len(set(np.lexsort((np.arange(3000), -scores[q]))[:20]) & set(part["vec_id"])) for q, part in got.groupby("query_id"))
+    assert len(got) == 20 * 150 and hits >= 0.9 * 20 * 150
+
+
 # toxicity
 
 
