@@ -556,6 +556,104 @@ def test_toxic_expressions_are_learnt(spark, awkward):
     assert {r["predicted"] for r in toxicity.score_toxicity(awkward, nothing).collect()} == {0}
 
 
+def plain_ratio(rows, shift, margin):
+    """Evidence of a text by the formulas alone, over every word and bigram that the counted texts hold."""
+    import math
+    import re
+    from collections import Counter
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    count = {c: Counter() for c in (0, 1)}
+    for text, toxic in rows:
+        w = words(text)
+        count[toxic].update(zip([None, *w], w, strict=False))
+    k = {c: Counter(b for _, b in count[c]) for c in (0, 1)}
+    total = {c: sum(k[c].values()) for c in (0, 1)}
+    every = set(k[0]) | set(k[1])
+    scale = {c: total[c] / min(total.values()) for c in (0, 1)}
+    d = {c: toxicity.DISCOUNT * scale[c] for c in (0, 1)}
+    back = {c: sum(min(k[c][w], d[c]) for w in every) / total[c] for c in (0, 1)}
+    shared = lambda w: (k[0][w] + k[1][w] + 1) / (sum(total.values()) + len(every) + 1)
+    low = lambda c, w: max(k[c][w] - d[c], 0) / total[c] + back[c] * shared(w)
+    firsts = {c: Counter() for c in (0, 1)}
+    spent = {c: Counter() for c in (0, 1)}
+    for c in (0, 1):
+        for (a, b), n in count[c].items():
+            firsts[c][a] += n
+            spent[c][a] += max(n - toxicity.BIGRAM_DISCOUNT * scale[c], 0)
+    left = lambda c, a: max(1 - spent[c][a] / max(firsts[c][a], 1), 1e-3)
+    value = lambda c, a, b: max(count[c][a, b] - toxicity.BIGRAM_DISCOUNT * scale[c], 0) / max(firsts[c][a], 1) + left(c, a) * low(c, b)
+
+    def evidence(text):
+        w, out = words(text), 0.0
+        for a, b in zip([None, *w], w, strict=False):
+            gain = math.log(low(1, b) / low(0, b))
+            move = math.log(value(1, a, b) / value(0, a, b)) - gain
+            ratio = gain + max(-shift, min(shift, move))
+            out += math.copysign(max(abs(ratio) - margin, 0), ratio)
+        return out / (len(w) + toxicity.PRIOR_WORDS) if w else 0.0
+
+    return evidence
+
+
+@pytest.fixture(scope="module")
+def marked(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        words = [rng.choice("red blue green the a of to house tree river walk see".split()) for _ in range(rng.randint(3, 40))]
+        if i % 2:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(["vile", "you rat", "rotten to"]))
+        rows.append((i, " ".join(words), i % 2))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+
+def test_toxicity_equals_the_formulas(spark, marked):
+    rows, df = marked
+    model = toxicity.fit_model(df)
+    assert min(model.sizes.values()) > 0 and model.sizes["words"] < len({w for _, t, _ in rows for w in t.split()})
+    held = {r["doc_id"] for r in df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(100)) < toxicity.CALIBRATION).collect()}
+    plain = plain_ratio([(t, y) for i, t, y in rows if i not in held], model.shift, model.margin)
+    asked = [(1, "you rat of the vile river"), (2, None), (3, ""), (4, "unseen words unseen"), (4, "A RED house, rotten to the river! \u00e9t\u00e9"), (5, "..."), (6, "vile " * 5000)] + [(i, t) for i, t, _ in rows[:20]]
+    docs = spark.createDataFrame(asked, "doc_id long, text string").withColumns({"gain": F.lit(1), "__e2": F.lit("x"), "score": F.lit("y")})
+    got = toxicity.score_toxicity(docs, model).collect()
+    assert sorted((r["doc_id"], round(r["evidence"], 9)) for r in got) == sorted((i, round(plain(t or ""), 9)) for i, t in asked)
+
+
+def test_toxicity_model_as_a_table(spark, marked, monkeypatch):
+    _, df = marked
+    docs = df.unionByName(df.limit(5)).unionByName(spark.createDataFrame([(900, None, 0), (901, "", 0), (902, "what else", 1)], df.schema))
+    scored = lambda m: sorted((r["doc_id"], round(r["evidence"], 9), round(r["score"], 9)) for r in toxicity.score_toxicity(docs, m).collect())
+    small = toxicity.fit_model(df)
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
+    large = toxicity.fit_model(df)
+    assert large.small is None and (large.shift, large.margin) == (small.shift, small.margin)
+    assert scored(large) == scored(small)
+    assert toxicity.score_toxicity(docs.limit(0), large).count() == toxicity.score_toxicity(docs.limit(0), small).count() == 0
+
+
+def test_toxic_phrases_of_ordinary_words(spark):
+    rng = random.Random(9)
+    plain = "get lost you are not here and we go out of town".split()
+    rows = []
+    for i in range(1200):
+        words = [rng.choice(plain) for _ in range(30)]
+        text = " ".join(words)
+        for phrase in ("get lost", "go out"):
+            text = text.replace(phrase, phrase.split()[0])
+        if i % 4 == 0:
+            at = text.split()
+            for _ in range(3):
+                at.insert(rng.randrange(len(at)), rng.choice(["get lost", "go out"]))
+            text = " ".join(at)
+        rows.append((i, text, int(i % 4 == 0)))
+    schema = "doc_id long, text string, toxic int"
+    model = toxicity.fit_model(spark.createDataFrame(rows[:900], schema))
+    got = toxicity.score_toxicity(spark.createDataFrame(rows[900:], schema), model).collect()
+    assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.9 * len(got)
+
+
 # mixing
 
 
