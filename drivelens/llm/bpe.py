@@ -4,7 +4,7 @@ A text of at most `CHUNK` characters is one piece. A longer one is cut into chun
 characters and are pre-tokenised in parallel. Where a boundary of one chunk's pre-tokens is a boundary of the next
 chunk's too, the two have resynchronised (a pre-token depends only on what follows its start), and the text is cut
 there. The pieces between such cuts are encoded in parallel; a text is put together again from the ids of its pieces
-in order. A text with an overlap without a shared boundary is encoded whole.
+in order, a piece at a time. A text with an overlap without a shared boundary is encoded whole.
 """
 
 from __future__ import annotations
@@ -99,16 +99,38 @@ def _digests(ranks_path: str, pattern: str):
 
 
 def _piece(ranks_path: str, pattern: str):
-    @F.arrow_udf("struct<n:bigint,ids:binary,decoded:binary>")
+    @F.arrow_udf("binary")
     def piece(texts: pa.Array) -> pa.Array:
-        found = [encode(v.as_py(), ranks_path, pattern) for v in texts]
-        return pa.StructArray.from_arrays(
-            [pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([decode(x, ranks_path, pattern) for x in found], pa.binary())], ["n", "ids", "decoded"]
-        )
+        return pa.array([encode(v.as_py(), ranks_path, pattern).tobytes() for v in texts], pa.binary())
 
     return piece
 
 
+def _joined(ranks_path: str, pattern: str):
+    """(key, n_tokens, ids_sha256, decoded_sha256) of texts whose pieces follow one another; a piece is held at a time."""
+
+    def joined(batches):
+        key, n, digests = None, 0, None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (key, n, *(d.hexdigest() for d in digests))], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        for batch in batches:
+            for own, piece in zip(batch.column("key"), batch.column("ids"), strict=True):
+                if own.as_py() != key:
+                    if digests:
+                        yield done()
+                    key, n, digests = own.as_py(), 0, (hashlib.sha256(), hashlib.sha256())
+                ids = np.frombuffer(piece.as_py(), "<u4")
+                n += len(ids)
+                digests[0].update(ids)
+                digests[1].update(decode(ids, ranks_path, pattern))
+        if digests:
+            yield done()
+
+    return joined
+
+
 def _cut(chunk: int, overlap: int):
     @F.arrow_udf("array<struct<k:int,start:bigint,last:boolean,part:string>>")
     def cut(texts: pa.Array) -> pa.Array:
@@ -161,10 +183,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk: int
     # equal texts have equal ids: a long text is encoded once and joined to its rows
     texts = docs.filter(is_long).select(*own, F.sha2(F.col("text").cast("binary"), 256).alias("key"))
     keyed = texts.select("key", "text").dropDuplicates(["key"])
-    pieces = _long_pieces(keyed, pattern, chunk, overlap).select("key", "k", _piece(ranks_path, pattern)("piece").alias("p"))
-    joined = pieces.groupBy("key").agg(F.sum("p.n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("k", "p.ids", "p.decoded"))).alias("all"))
-    whole = lambda part: F.sha2(F.aggregate(F.transform("all", lambda x: x[part]), F.lit(b""), lambda a, b: F.concat(a, b)), 256)
-    done = joined.select("key", "n_tokens", whole("ids").alias("ids_sha256"), whole("decoded").alias("decoded_sha256"))
+    pieces = _long_pieces(keyed, pattern, chunk, overlap).select("key", "k", _piece(ranks_path, pattern)("piece").alias("ids"))
+    # a digest reads a text's pieces in order, so they meet in one task, where they stream through it
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = pieces.repartition(tasks, "key").sortWithinPartitions("key", "k").select("key", "ids")
+    done = met.mapInArrow(_joined(ranks_path, pattern), "key string, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return short.unionByName(texts.join(done, "key").select(*own, *names))
 
 
