@@ -15,7 +15,7 @@ from .common import small_batches
 #: Kinds in the order that breaks ties of a start. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = 4
-#: Score of a confirmed span before its context is read, and what a context word nearby adds.
+#: Score of a confirmed span before its context is read, and what a context word nearby adds or takes.
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.5, "secret": 0.6}
 CONTEXT = {
     "email": ("mail", "contact", "write"),
@@ -26,7 +26,17 @@ CONTEXT = {
     "ssn": ("ssn", "social", "security"),
     "secret": ("token", "password", "secret", "key", "api"),
 }
-BONUS = 0.1
+#: Words that speak against a kind: what else a number or a digest may be.
+AGAINST = {
+    "email": (),
+    "ip": ("version", "release", "section", "chapter"),
+    "card": ("order", "invoice", "tracking", "isbn", "serial"),
+    "phone": ("order", "invoice", "isbn", "serial"),
+    "iban": (),
+    "ssn": ("order", "part", "model", "serial", "isbn"),
+    "secret": ("commit", "checksum", "digest", "sha", "md", "revision"),
+}
+BONUS, PENALTY = 0.1, 0.2
 REACH = 40
 #: Spans of added kinds below this score are dropped; base spans stay whatever their score.
 ADDED_MIN = 0.6
@@ -37,7 +47,14 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])")
+#: How many characters an IBAN of each country has.
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BI=27, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DJ=27, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FK=18, FO=18, FR=27,
+    GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19,
+    MN=20, MR=27, MT=31, MU=30, NI=28, NL=18, NO=15, OM=23, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, RU=33, SA=24, SC=31, SD=18, SE=24, SI=19, SK=24, SM=27, SO=23, ST=25, SV=28, TL=23,
+    TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+)
+_IBAN = re.compile("(?<![A-Za-z0-9])(?:" + "|".join(f"{c}[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for c, n in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -88,7 +105,7 @@ def _proposals(text: str):
             if 10 <= len(_digits(m[0])) <= 15:
                 yield 3, *m.span()
     for m in _IBAN.finditer(text):
-        if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0]):
+        if mod97(m[0]):
             yield 4, *m.span()
     if "-" in text:
         for m in _SSN.finditer(text):
@@ -102,7 +119,8 @@ def find_spans(text: str | None) -> list[tuple[int, int, int, float]]:
     out = []
     for kind, a, b in _proposals(text or ""):
         near = {w.lower() for w in _WORD.findall(text[max(0, a - REACH) : a] + " " + text[b : b + REACH])}
-        score = min(1.0, PRIOR[KINDS[kind]] + BONUS * sum(w in near for w in CONTEXT[KINDS[kind]]))
+        name = KINDS[kind]
+        score = min(1.0, max(0.0, PRIOR[name] + BONUS * sum(w in near for w in CONTEXT[name]) - PENALTY * sum(w in near for w in AGAINST[name])))
         if kind < BASE or score >= ADDED_MIN:
             out.append((a, kind, b, score))
     return sorted(out)
