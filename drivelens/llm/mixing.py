@@ -28,25 +28,42 @@ def size_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _weights(sources: DataFrame) -> DataFrame:
+    """sources with weight: 1, 2, 3, repeating, by code point with null last.
+
+    Sources are range-partitioned and numbered within their partitions; how many lie before a partition is summed over
+    one number each, so that no task gets more sources than its range.
+    """
+    order = [F.col("source").isNull(), "source"]
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(sources.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("line")))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"), F.min("line").alias("first"))
+    starts = sizes.select("part", "first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.join(starts, "part").withColumn("weight", (F.col("before") + F.col("line") - F.col("first")) % 3 + 1).drop("part", "line", "first", "before")
+
+
 def source_targets(sources: DataFrame) -> DataFrame:
     """source, source_size, target: weights 1, 2, 3, repeating, by code point with null last; no target above 3 times the size.
 
     sources: source, source_size (one row each). The excess of capped targets is reshared by weight until none is
-    above: sources in order of size per weight are capped as long as the rest's share exceeds theirs.
+    above: each round is one aggregate over the sources, and the level it gives never falls, so that a source once
+    capped stays so and the rounds end.
     """
-    weight = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1
-    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    below = order.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w = sources.withColumn("weight", weight)
-    w = w.withColumn("words", F.sum("source_size").over(every)).withColumn("weights", F.sum("weight").over(every))
-    # the level if exactly the sources before this one are capped
-    spent, used = F.coalesce(F.sum("source_size").over(below), F.lit(0)) * MOST, F.coalesce(F.sum("weight").over(below), F.lit(0))
-    w = w.withColumn("level", (F.col("words") - spent) / (F.col("weights") - used)).withColumn("room", MOST * F.col("source_size") / F.col("weight"))
-    # the first source whose room is not below its level ends the capping
-    w = w.withColumn("share", F.min(F.when(F.col("room") >= F.col("level"), F.struct("room", F.col("level").alias("at")))).over(every)["at"])
-    capped = MOST * F.col("source_size").cast("double")
-    return w.select("source", "source_size", F.when(F.col("share").isNull(), capped).otherwise(F.least(capped, F.col("weight") * F.col("share"))).alias("target"))
+    w = cut(_weights(sources))
+    room = MOST * F.col("source_size") / F.col("weight")
+    capped, level = F.lit(False), None
+    while True:
+        sums = w.agg(F.sum("source_size").alias("words"), F.sum(F.when(capped, F.col("source_size"))).alias("spent"), F.sum(F.when(~capped, F.col("weight"))).alias("open"), F.count("*").alias("n")).first()
+        if not sums["open"]:
+            level = None
+            break
+        new = (sums["words"] - MOST * (sums["spent"] or 0)) / sums["open"]
+        if level is not None and new <= level:
+            break
+        level = new
+        capped = room < F.lit(float(level))
+    ceiling = MOST * F.col("source_size").cast("double")
+    return w.select("source", "source_size", (ceiling if level is None else F.least(ceiling, F.col("weight") * F.lit(float(level)))).alias("target"))
 
 
 def multiplier(size: Column, target: Column) -> Column:
