@@ -28,8 +28,6 @@ REGISTERS = 64
 BAND_ROWS = 4
 #: Nodes of a bucket that meet what is not connected with them in one task.
 BLOCK = 512
-#: Pairs whose registers agree less than this far below the wanted similarity (four standard deviations) are not verified in blocks.
-SLACK = 0.2
 _SLICE, _DOCS = 1 << 22, 2048
 _C = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 52) - 1)
@@ -145,18 +143,16 @@ def band_keys(texts: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.int64()))
 
 
-@F.arrow_udf(T.StructType([T.StructField(n, T.BinaryType()) for n in ("hashes", "weights", "signature")]))
+@F.arrow_udf(T.StructType([T.StructField(n, T.BinaryType()) for n in ("hashes", "weights")]))
 def shingle_arrays(texts: pa.Array) -> pa.Array:
-    """Sorted shingles of each text, their counts, and 32 bits of each register."""
-    hashes, weights, registers = [], [], []
+    """Sorted shingles of each text and their counts."""
+    hashes, weights = [], []
     for n, (text, shingle, weight) in _slices(texts):
         ends = np.searchsorted(text, np.arange(n + 1))
-        found = signatures(text, shingle, weight, n).astype(np.uint32)
         for i in range(n):
             hashes.append(shingle[ends[i] : ends[i + 1]].tobytes())
             weights.append(weight[ends[i] : ends[i + 1]].astype(np.uint32).tobytes())
-            registers.append(found[i].tobytes())
-    return pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in (hashes, weights, registers)], ["hashes", "weights", "signature"])
+    return pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in (hashes, weights)], ["hashes", "weights"])
 
 
 def _counts(hashes: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -173,30 +169,36 @@ def _compare_block(rows: pd.DataFrame) -> pd.DataFrame:
     """Links of the nodes that ask (side 1) with those of a block (side 0), as a forest: pairs connected already are skipped.
 
     An index from shingles to the block's nodes gives what an asking node shares with each of them. Where all counts
-    are 1 that is the similarity; for the other pairs whose registers come near it, it is computed.
+    are 1 that is the similarity. For other pairs, the sum over shared shingles of the lesser of their two shares is
+    never below it; where that reaches the wanted similarity, the similarity is computed.
     """
     rows = rows.reset_index(drop=True)
     counted = [_counts(h, w) for h, w in zip(rows["hashes"], rows["weights"], strict=True)]
-    signature = np.stack([np.frombuffer(s, np.uint32) for s in rows["signature"]])
     _, label = np.unique(rows["label"].map(bytes), return_inverse=True)
     side, size = rows["side"].to_numpy(), np.array([len(h) for h, _ in counted])
     plain = np.array([bool((w == 1).all()) for _, w in counted])
     block, found = np.flatnonzero(side == 0), []
     index = np.concatenate([counted[q][0] for q in block] or [np.zeros(0, np.uint64)])
+    part = np.concatenate([counted[q][1] / counted[q][1].sum() for q in block] or [np.zeros(0)])
     order = np.argsort(index, kind="stable")
-    index, owner = index[order], np.repeat(np.arange(len(block)), size[block])[order]
+    index, part, owner = index[order], part[order], np.repeat(np.arange(len(block)), size[block])[order]
     for p in np.flatnonzero(side == 1):
         low, high = np.searchsorted(index, counted[p][0], "left"), np.searchsorted(index, counted[p][0], "right")
         n = high - low
-        shared = np.bincount(owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(block))
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(block))
         apart = label[block] != label[p]
         simple = plain[block] & plain[p]
         for q in block[apart & simple & (shared >= SIMILARITY * (size[p] + size[block] - shared))]:
             if label[p] != label[q]:
                 found.append((rows["node"][p], rows["node"][q]))
                 label[label == label[q]] = label[p]
-        for q in block[apart & ~simple & (shared > 0)]:
-            if label[p] != label[q] and (signature[q] == signature[p]).mean() >= SIMILARITY - SLACK and probability_jaccard(*counted[p], *counted[q]) >= SIMILARITY:
+        if simple.all():
+            continue
+        weights = counted[p][1]
+        bound = np.bincount(owner[at], np.minimum(part[at], np.repeat(weights / weights.sum(), n)), len(block))
+        for q in block[apart & ~simple & (bound >= SIMILARITY - 1e-9)]:
+            if label[p] != label[q] and probability_jaccard(*counted[p], *counted[q]) >= SIMILARITY:
                 found.append((rows["node"][p], rows["node"][q]))
                 label[label == label[q]] = label[p]
     return pd.DataFrame(found, columns=["a", "b"])

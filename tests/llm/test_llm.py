@@ -176,10 +176,9 @@ def test_blocks_find_what_the_hubs_miss():
         chain.append(step)
     rows = []
     text, shingle, weight = dedup.shingle_counts(*utf8_parts(pa.array([" ".join(c) for c in chain])))
-    marks = dedup.signatures(text, shingle, weight, len(chain)).astype(np.uint32)
     for side in (0, 1):
         for i in range(len(chain)):
-            rows.append({"key": 1, "block": 0, "side": side, "node": bytes([i]), "label": bytes([i]), "hashes": shingle[text == i].tobytes(), "weights": weight[text == i].astype(np.uint32).tobytes(), "signature": marks[i].tobytes()})
+            rows.append({"key": 1, "block": 0, "side": side, "node": bytes([i]), "label": bytes([i]), "hashes": shingle[text == i].tobytes(), "weights": weight[text == i].astype(np.uint32).tobytes()})
     found = dedup._compare_block(pd.DataFrame(rows))
     reached = {0}
     for _ in chain:
@@ -187,6 +186,32 @@ def test_blocks_find_what_the_hubs_miss():
     assert reached == set(range(len(chain))) and len(found) == len(chain) - 1
 
 
+def test_blocks_of_texts_with_repeats_equal_all_pairs():
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        base = (prose(rng, 8) + " ") * rng.randint(4, 12) + prose(rng, 30)
+        for _ in range(4):
+            words = base.split()
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = "z%d" % rng.randrange(99)
+            texts.append(" ".join(words))
+    text, shingle, weight = dedup.shingle_counts(*utf8_parts(pa.array(texts)))
+    one = [(shingle[text == i], weight[text == i].astype(np.uint32)) for i in range(len(texts))]
+    rows = [{"key": 1, "block": 0, "side": side, "node": bytes([i]), "label": bytes([i]), "hashes": h.tobytes(), "weights": w.tobytes()} for side in (0, 1) for i, (h, w) in enumerate(one)]
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    plain = list(root)
+    for a, b in dedup._compare_block(pd.DataFrame(rows)).itertuples(index=False):
+        root[find(a[0])] = find(b[0])
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if dedup.probability_jaccard(*one[i], *one[j]) >= dedup.SIMILARITY]
+    of = lambda x: x if plain[x] == x else of(plain[x])
+    for i, j in linked:
+        plain[of(i)] = of(j)
+    same = lambda f: {frozenset(j for j in range(len(texts)) if f(j) == f(i)) for i in range(len(texts))}
+    assert same(find) == same(of) and len(linked) > 10
+
+
 def test_keep_one(spark, awkward):
     kept = dedup.keep_one(awkward)
     assert kept.columns == awkward.columns
@@ -254,6 +279,24 @@ def test_added_kinds_and_masks():
     assert pii.mask(text, pii.find_spans(text)) == "Card <CARD>, IBAN <IBAN> of my bank, not GB83 WEST 1234 5698 7654 32. Mail <EMAIL>"
 
 
+@pytest.mark.parametrize("text", ["AT61 1904 3002 3457 3201 BIC BKAU", "AT611904300234573201 EUR", "NO93 8601 1117 947 OK", "to AT61 1904 3002 3457 3201, bic", "(AT611904300234573201)"])
+def test_ibans_end_where_their_country_says(text):
+    (span,) = [s for s in pii.find_spans(text) if pii.KINDS[s[1]] == "iban"]
+    assert pii.mod97(text[span[0] : span[2]]) and text[span[0] : span[2]].replace(" ", "") in ("AT611904300234573201", "NO9386011117947")
+
+
+@pytest.mark.parametrize("text", ["AT611904300234573201EUR", "xAT611904300234573201", "AT61190430023457320", "AT621904300234573201", "ZZ611904300234573201"])
+def test_what_is_no_iban(text):
+    assert not [s for s in pii.find_spans(text) if pii.KINDS[s[1]] == "iban"]
+
+
+def test_words_nearby_raise_and_lower_scores():
+    score = lambda t: pii.find_spans(t)[0][3]
+    assert score("server 10.0.0.1 up") > score("it was 10.0.0.1 there") > score("version 10.0.0.1 out")
+    digest = "0123456789abcdef0123456789abcdef"
+    assert pii.find_spans(f"token {digest}") and not pii.find_spans(f"commit {digest}")
+
+
 def test_personal_data_frame(spark, awkward):
     found = pii.find_personal_data(awkward)
     for r in found.collect():
