@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,10 @@ SCOPE = frozenset("ul ol dl table body html article section div main aside nav h
 
 PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN_SIZE = 64, 24, 8, 16
 INPUT = PATH_SIZE + WORD_SIZE + MEASURES
+#: What an element adds to the path vector of what stands in it, against its own.
+FADE = np.float32(0.85)
 #: Generated pages, updates and pages of an update in training.
-PAGES, UPDATES, BATCH = 320, 160, 32
+PAGES, UPDATES, BATCH = 500, 360, 32
 SEED = 11
 
 _OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?])")
@@ -68,19 +70,75 @@ def _tag_end(text: str, at: int) -> int:
                 return first
 
 
-def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of each block with text, in page order.
+@dataclass(slots=True)
+class Block:
+    """A leaf's text, the hashed vector of the tags that lead to it, how many they are and how many of its characters are in links."""
+
+    path: np.ndarray
+    depth: int
+    text: str
+    linked: int
+
+
+_NO_PATH = np.zeros(PATH_SIZE, np.float32)
+
+
+class _Open:
+    """The open elements, outermost first. Each has the path vector of itself and what it stands in, so that a deep page costs no more a block than a flat one."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.paths: list[np.ndarray] = []
+        self.count: dict[str, int] = {}
+
+    def push(self, tag: str, marks: tuple[str, ...]) -> None:
+        self.tags.append(tag)
+        self.paths.append(element_vector((tag, *marks)) + FADE * (self.paths[-1] if self.paths else _NO_PATH))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def cut(self, at: int) -> None:
+        for tag in self.tags[at:]:
+            self.count[tag] -= 1
+        del self.tags[at:], self.paths[at:]
+
+    def has(self, tag: str) -> bool:
+        return self.count.get(tag, 0) > 0
+
+    def end(self, tag: str) -> None:
+        """Close the innermost such element; phrases and paragraphs are not closed from within a part of the page below them."""
+        stops = tag in INLINE or tag == "p"
+        if self.has(tag):
+            for i in range(len(self.tags) - 1, -1, -1):
+                if self.tags[i] == tag:
+                    return self.cut(i)
+                if stops and self.tags[i] in SCOPE:
+                    return None
+        return None
+
+    def give_way(self, tag: str) -> None:
+        """Close what a start tag ends: an open paragraph, or an item of its kind."""
+        ended = ENDS.get(tag, ())
+        if self.has("p") or any(self.has(t) for t in ended):
+            for i in range(len(self.tags) - 1, -1, -1):
+                if self.tags[i] == "p" or self.tags[i] in ended:
+                    return self.cut(i)
+                if self.tags[i] in SCOPE:
+                    return None
+        return None
+
+
+def blocks_of(page: str | None) -> list[Block]:
+    """The blocks with text of a page, in its order.
 
     White space is one space and trimmed, character references are decoded. Elements that never show text are skipped.
     A head ends where something stands that can't be in it; a hidden element of markup without an end hides nothing.
     """
     text = page or ""
-    tags: list[str] = []
-    names: list[str] = []
-    out: list[tuple[tuple[str, ...], str, int]] = []
+    tree = _Open()
+    out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    path: tuple[str, ...] = ()
+    path, depth, titled = _NO_PATH, 0, False
     endless: set[str] = set()
     at = 0
 
@@ -91,25 +149,24 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             if "&" in body:
                 body = entities.unescape(body)
             body = " ".join(body.split())
-            if body:
-                out.append((path, body, min(linked, len(body))))
+            if body and not titled:
+                out.append(Block(path, depth, body, min(linked, len(body))))
             parts, linked = [], 0
 
     def close_head():
-        if "head" in tags:
+        if tree.has("head"):
             close_block()
-            i = tags.index("head")
-            del tags[i:], names[i:]
+            tree.cut(tree.tags.index("head"))
 
     def add(piece: str):
-        nonlocal linked, path
+        nonlocal linked, path, depth, titled
         if piece:
-            if tags and tags[-1] == "head" and piece.strip(" \t\n\r\f"):
+            if tree.tags and tree.tags[-1] == "head" and piece.strip(" \t\n\r\f"):
                 close_head()
-            if not parts or (not path and names):
-                path = tuple(names)
+            if not parts or (not depth and tree.tags):
+                path, depth, titled = (tree.paths[-1] if tree.paths else _NO_PATH), len(tree.tags), tree.has("head")
             parts.append(piece)
-            if "a" in tags[-3:]:
+            if tree.has("a") and "a" in tree.tags[-3:]:
                 linked += len(piece)
 
     while True:
@@ -133,31 +190,18 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 close_head()
             if tag not in INLINE:
                 close_block()
-            if tag in tags:
-                for i in range(len(tags) - 1, -1, -1):
-                    if tags[i] == tag:
-                        del tags[i:], names[i:]
-                        break
-                    if tags[i] in SCOPE and (tag in INLINE or tag == "p"):
-                        break
+            tree.end(tag)
             continue
         if tag not in IN_HEAD:
             close_head()
-        elif tag == "head" and any(t != "html" for t in tags):
+        elif tag == "head" and any(t != "html" for t in tree.tags[:2]):
             continue
         if tag == "br":
             add(" ")
             continue
         if tag not in INLINE:
             close_block()
-            if tag in ENDS or "p" in tags:
-                ended = ENDS.get(tag, ())
-                for i in range(len(tags) - 1, -1, -1):
-                    if tags[i] == "p" or tags[i] in ended:
-                        del tags[i:], names[i:]
-                        break
-                    if tags[i] in SCOPE:
-                        break
+            tree.give_way(tag)
         if tag in _ENDED and not text.endswith("/", 0, end):
             close = None if tag in endless else _ENDED[tag].search(text, at)
             if close:
@@ -170,14 +214,10 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in VOID or text.endswith("/", 0, end):
             continue
         marks = text[m.end() : end]
-        name = tag
-        if "=" in marks:
-            words = [w for a in _ATTRIBUTE.finditer(marks) for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
-            name = ".".join([tag, *words[:8]])
-        tags.append(tag)
-        names.append(name)
+        names = [w for a in _ATTRIBUTE.finditer(marks) for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())] if "=" in marks else []
+        tree.push(tag, tuple(names[:8]))
     close_block()
-    return [b for b in out if not any(p.split(".", 1)[0] == "head" for p in b[0])]
+    return out
 
 
 def _stable(word: str) -> int:
@@ -186,43 +226,41 @@ def _stable(word: str) -> int:
 
 
 @functools.lru_cache(maxsize=65536)
-def path_vector(path: tuple[str, ...]) -> bytes:
-    """Signed hashes of every element of a path and of every name in its class, id and role; nearer ones weigh more."""
+def element_vector(names: tuple[str, ...]) -> np.ndarray:
+    """Signed hashes of an element's tag and of the names in its class, id and role."""
     v = np.zeros(PATH_SIZE, np.float32)
-    for depth, element in enumerate(reversed(path)):
-        names = element.split(".")
-        for name in [names[0], *("." + x for x in names[1:])]:
-            h = _stable(name)
-            v[h % PATH_SIZE] += (1 if h >> 40 & 1 else -1) * 0.85**depth
-    return v.tobytes()
+    for name in [names[0], *("." + x for x in names[1:])]:
+        h = _stable(name)
+        v[h % PATH_SIZE] += 1 if h >> 40 & 1 else -1
+    return v
 
 
-def page_inputs(pages: list[list[tuple[tuple[str, ...], str, int]]]) -> np.ndarray:
+def page_inputs(pages: list[list[Block]]) -> np.ndarray:
     """The labeller's input of all blocks of all pages, in order."""
     flat = [b for p in pages for b in p]
     x = np.zeros((len(flat), INPUT), np.float32)
     if not flat:
         return x
-    x[:, :PATH_SIZE] = np.frombuffer(b"".join(path_vector(p) for p, _, _ in flat), np.float32).reshape(len(flat), PATH_SIZE)
-    offsets, body = utf8_parts(pa.array([t for _, t, _ in flat], pa.string()))
+    x[:, :PATH_SIZE] = [b.path for b in flat]
+    offsets, body = utf8_parts(pa.array([b.text for b in flat], pa.string()))
     hashes, counts = word_hashes(offsets, body)
     spot = (hashes % np.uint64(WORD_SIZE)).astype(np.int64)
     sign = np.where((hashes >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
     owner = np.repeat(np.arange(len(flat)), counts)
     words = np.bincount(owner * WORD_SIZE + spot, sign, len(flat) * WORD_SIZE).reshape(len(flat), WORD_SIZE)
     x[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] = words / np.maximum(np.sqrt((words**2).sum(1)), 1)[:, None]
-    size = np.array([len(t) for _, t, _ in flat], np.float32)
+    size = np.array([len(b.text) for b in flat], np.float32)
     m = x[:, PATH_SIZE + WORD_SIZE :]
     m[:, 0] = np.log1p(size) / 6
     m[:, 1] = np.log1p(counts) / 5
-    m[:, 2] = np.array([k for _, _, k in flat]) / np.maximum(size, 1)
-    m[:, 3] = [t[-1] in ".!?…:;" for _, t, _ in flat]
+    m[:, 2] = np.array([b.linked for b in flat]) / np.maximum(size, 1)
+    m[:, 3] = [b.text[-1] in ".!?…:;" for b in flat]
     lengths = np.array([len(p) for p in pages])
     begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
     m[:, 4] = (np.arange(len(flat)) - begin) / np.repeat(np.maximum(lengths, 1), lengths)
-    m[:, 5] = np.array([len(p) for p, _, _ in flat]) / 10
+    m[:, 5] = np.minimum([b.depth for b in flat], 64) / 10
     m[:, 6] = np.log1p(np.repeat(lengths, lengths)) / 6
-    m[:, 7] = [_DIGIT.search(t, 0, 40) is not None for _, t, _ in flat]
+    m[:, 7] = [_DIGIT.search(b.text, 0, 40) is not None for b in flat]
     return x
 
 
@@ -345,95 +383,183 @@ def train(pages: list[list], labels: list[np.ndarray], updates: int = UPDATES, s
 
 #: Names that sites give to the parts of a page. The generator draws from them.
 NAMES = {
-    "main": "content post entry story text body article page".split(),
-    "menu": "nav menu navbar topnav breadcrumb breadcrumbs navigation links".split(),
-    "side": "sidebar side related widget widgets recommended popular tags".split(),
-    "ad": "ad ads advert advertisement banner sponsor sponsored promo".split(),
-    "notice": "cookie cookies consent notice alert popup modal gdpr newsletter".split(),
-    "comments": "comments comment replies responses discussion disqus commentlist".split(),
-    "share": "share social sharing follow buttons".split(),
-    "foot": "footer foot copyright legal bottom".split(),
-    "head": "header masthead top logo branding".split(),
+    "main": "content post entry story text body article page main question topic detail document lead".split(),
+    "menu": "nav menu navbar topnav breadcrumb breadcrumbs navigation links toolbar tabs pagination pager".split(),
+    "side": "sidebar side related widget widgets recommended popular tags trending archive aside".split(),
+    "ad": "ad ads advert advertisement banner sponsor sponsored promo adsense teaser".split(),
+    "notice": "cookie cookies consent notice alert popup modal gdpr newsletter subscribe overlay".split(),
+    "comments": "comments comment replies responses discussion disqus commentlist reviews thread".split(),
+    "share": "share social sharing follow buttons tools".split(),
+    "foot": "footer foot copyright legal bottom colophon".split(),
+    "head": "header masthead top logo branding site".split(),
 }
+#: Roles that some sites give to them.
+ROLES = {"main": "main", "menu": "navigation", "side": "complementary", "foot": "contentinfo", "head": "banner", "notice": "dialog"}
+MARK = "\x01"
+
+
+class _Writer:
+    """Makes up a page's parts from random numbers. Invented words, so that only structure and measures can be learnt."""
+
+    def __init__(self, rng: np.random.Generator):
+        self.rng = rng
+        self.sounds = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 4))) for _ in range(40)]
+        self.signs = rng.random() < 0.2
+        #: A site leaves out end tags of paragraphs and items, or doesn't name its parts, throughout.
+        self.open_ends = rng.random() < 0.15
+        self.unnamed = rng.random() < 0.15
+        #: Tag soup: phrases whose end tags are missing.
+        self.soup = rng.random() < 0.2
+
+    def chance(self, p: float) -> bool:
+        return self.rng.random() < p
+
+    def some(self, p: float, make) -> str:
+        return make() if self.chance(p) else ""
+
+    def one(self, options):
+        return options[self.rng.integers(0, len(options))]
+
+    def many(self, least: int, most: int):
+        return range(int(self.rng.integers(least, most + 1)))
+
+    def word(self) -> str:
+        w = "".join(self.sounds[i] for i in self.rng.integers(0, len(self.sounds), self.rng.integers(1, 4)))
+        if self.signs and self.chance(0.3):
+            return w + self.one(["&amp;", "&#39;s", "*", " &ndash;", "!", "&nbsp;", " 12", "%", "#"])
+        return w
+
+    def words(self, least: int, most: int, stop: bool = True) -> str:
+        line = [self.word() for _ in self.many(least, most)]
+        ends = self.one([".", ".", ".", "!", "?", ":", ""]) if stop else ""
+        return " ".join(line).capitalize() + ends
+
+    def phrase(self, least: int, most: int) -> str:
+        """Words with markup among them."""
+        line = self.words(least, most)
+        if self.soup and self.chance(0.25):
+            return f"<{self.one(['b', 'i', 'strong', 'em', 'font', 'span', 'u', 'small'])}>{line}" + self.some(0.4, lambda: "<br>")
+        r = self.rng.random()
+        if r < 0.12:
+            return f"{line} <{(t := self.one(['b', 'em', 'strong', 'i', 'span', 'code', 'u']))}>{self.words(1, 4, False)}</{t}> {self.words(1, 20)}"
+        if r < 0.24:
+            return f'{line} <a href="/x">{self.words(1, 4, False)}</a> {self.words(1, 30)}'
+        if r < 0.3:
+            return f"{line}<br>{self.words(3, 30)}"
+        if r < 0.34:
+            return f"{line}<br><br>{self.words(3, 30)}"
+        return line
+
+    def end(self, tag: str) -> str:
+        return "" if self.open_ends and tag in ("p", "li", "td", "tr", "dd", "dt", "th") else f"</{tag}>"
+
+    def box(self, kind: str, inner: str, tags: tuple = ("div", "section", "div")) -> str:
+        tag = self.one(tags)
+        if self.unnamed and kind == "main":
+            return f"<{tag}>{inner}</{tag}>"
+        name = self.one(NAMES[kind]) + self.one(["", "", "-box", "-area", "_1", " clearfix", "-wrapper inner"])
+        marks = [f'{self.one(["class", "id"])}="{name}"']
+        if kind in ROLES and self.chance(0.15):
+            marks.append(f'role="{ROLES[kind]}"')
+        return f"<{tag}>{inner}</{tag}>" if tag not in ("div", "section", "ul", "ol", "td") and self.chance(0.5) else f"<{tag} {' '.join(marks)}>{inner}</{tag}>"
+
+    def links(self, n: int) -> str:
+        items = [f'<a href="/{i}">{self.words(1, 3, False)}</a>' for i in range(n)]
+        return self.one(["<ul>" + "".join(f"<li>{x}{self.end('li')}" for x in items) + "</ul>", " | ".join(items), "".join(f"<div>{x}</div>" for x in items), "<p>" + " &raquo; ".join(items) + "</p>"])
+
+    def paragraph(self) -> str:
+        m, kind = MARK, self.rng.random()
+        if kind < 0.5:
+            return f"<p>{m}{self.phrase(1, 90)}" + self.some(0.7, lambda: self.end("p")) if self.soup else f"<p>{m}{self.phrase(1, 90)}{self.end('p')}"
+        if kind < 0.58:
+            h = int(self.rng.integers(2, 5))
+            return f"<h{h}>{m}{self.words(1, 8, False)}</h{h}>"
+        if kind < 0.66:
+            tag = self.one(["ul", "ol"])
+            return f"<{tag}>" + "".join(f"<li>{m}{self.phrase(2, 20)}{self.end('li')}" for _ in self.many(2, 6)) + f"</{tag}>"
+        if kind < 0.7:
+            return f"<blockquote><p>{m}{self.words(4, 50)}</p></blockquote>" if self.chance(0.6) else f"<blockquote>{m}{self.words(4, 50)}</blockquote>"
+        if kind < 0.78:
+            columns = int(self.rng.integers(2, 5))
+            row = lambda tag: "<tr>" + "".join(f"<{tag}>{m}{self.words(1, 4, False)}{self.end(tag)}" for _ in range(columns)) + self.end("tr")
+            head = self.one([row("th"), "<thead>" + row("th") + "</thead>", ""])
+            side = lambda: f"<tr><th>{m}{self.words(1, 3, False)}</th><td>{m}{self.words(1, 8, False)}</td></tr>"
+            rows = "".join(row("td") for _ in self.many(1, 5)) if self.chance(0.7) else "".join(side() for _ in self.many(2, 6))
+            return f"<table>{self.some(0.3, lambda: f'<caption>{m}{self.words(2, 8)}</caption>')}{head}{rows}</table>"
+        if kind < 0.82:
+            return "<dl>" + "".join(f"<dt>{m}{self.words(1, 4, False)}{self.end('dt')}<dd>{m}{self.phrase(3, 30)}{self.end('dd')}" for _ in self.many(2, 5)) + "</dl>"
+        if kind < 0.86:
+            return f'<figure><img src="/i.png" alt="x"><figcaption>{m}{self.words(2, 20)}</figcaption></figure>'
+        if kind < 0.9:
+            return f"<pre>{m}{self.words(2, 40)}</pre>" if self.chance(0.5) else f"<pre><code>{m}{self.words(2, 40)}</code></pre>"
+        if kind < 0.96:
+            return f"<div>{m}{self.phrase(5, 70)}</div>"
+        return f"{m}{self.phrase(8, 70)}<br><br>"
+
+    def remark(self) -> str:
+        """A reader's comment."""
+        by = self.some(0.7, lambda: self.one(["<span>{}</span>", "<cite>{}</cite>", "<h4>{}</h4>", '<div class="author">{}</div>', "<b>{}</b>"]).format(self.words(1, 2, False)))
+        body = self.one(["<p>{}</p>", "<div>{}</div>", "{}"]).format(self.phrase(2, 40))
+        return by + body + self.some(0.3, lambda: f'<a href="#">{self.words(1, 1, False)}</a>')
+
+    def comments(self) -> str:
+        tag, item = self.one([("ol", "li"), ("ul", "li"), ("div", "div"), ("section", "article"), ("div", "div")])
+        listed = "".join(f'<{item}{self.one(["", chr(32) + "class=comment", chr(32) + "class=reply"])}>{self.remark()}</{item}>' for _ in self.many(1, 7))
+        form = self.some(0.3, lambda: f"<form><label>{self.words(1, 3, False)}</label><textarea></textarea><button>{self.words(1, 2, False)}</button></form>")
+        return self.box("comments", f"<h3>{self.words(1, 3, False)}</h3><{tag}>{listed}</{tag}>{form}")
+
+    def between(self) -> str:
+        return self.some(0.06, lambda: self.box("ad", self.words(1, 20), ("div", "aside"))) + self.some(0.04, lambda: "<script>var a = '<p>';</script>")
+
+    def story(self) -> str:
+        title = self.some(0.85, lambda: f"<h1>{MARK}{self.words(1, 14, False)}</h1>")
+        if self.chance(0.15):
+            title = f"<header>{title}</header>"
+        body = "".join(self.paragraph() + self.between() for _ in range(int(self.rng.integers(1, 14) ** 1.3)))
+        if self.chance(0.2):
+            body = self.box("main", body)
+        if self.chance(0.15):
+            body = "".join(f"<section><h2>{MARK}{self.words(1, 6, False)}</h2>{self.paragraph()}{self.paragraph()}</section>" for _ in self.many(1, 4)) + body
+        return title + body + self.some(0.15, lambda: self.box("share", self.links(3)))
+
+    def page(self) -> str:
+        frame = self.rng.random()
+        story = self.story()
+        if frame < 0.45:
+            article = f"<article>{story}</article>"
+        elif frame < 0.6:
+            article = f"<main>{story}</main>"
+        else:
+            article = self.box("main", story, ("div", "section", "div"))
+        if self.chance(0.15):
+            article = f"<main>{article}</main>"
+        if self.chance(0.1) and article.endswith("</article>"):
+            article = article[: -len("</article>")] + self.comments() + "</article>"
+        before = [
+            self.some(0.4, lambda: self.box("head", self.words(1, 6, False) + self.some(0.5, lambda: self.links(4)), ("header", "div"))),
+            self.some(0.75, lambda: self.box("menu", self.links(int(self.rng.integers(2, 10))), ("nav", "div", "nav"))),
+            self.some(0.3, lambda: self.box("notice", f"<p>{self.words(3, 25)}</p>" + self.some(0.5, lambda: f"<button>{self.words(1, 2, False)}</button>"))),
+            self.some(0.6, lambda: self.box("ad", self.some(0.5, lambda: "<p>") + self.words(2, 25), ("div", "aside", "div"))),
+            self.some(0.2, lambda: f"<form><label>{self.words(1, 3, False)}</label><input name=q><button>{self.words(1, 2, False)}</button></form>"),
+        ]
+        if self.chance(0.3):
+            before = [before[i] for i in self.rng.permutation(len(before))]
+        side = lambda: self.box("side", f"<h4>{self.words(1, 3, False)}</h4>" + (self.links(5) if self.chance(0.6) else f"<p>{self.words(3, 40)}</p>"), ("aside", "div"))
+        after = [self.some(0.35, self.comments), self.some(0.35, side), self.some(0.15, lambda: self.box("ad", self.words(2, 25), ("div", "aside"))), self.some(0.85, lambda: self.box("foot", "&copy; " + self.words(1, 12) + self.some(0.4, lambda: self.links(3)), ("footer", "div", "footer")))]
+        if self.chance(0.1):
+            # a page laid out by a table
+            middle = f"<table><tr><td>{self.links(6)}</td><td>{article}</td>{self.some(0.5, lambda: f'<td>{side()}</td>')}</tr></table>"
+        else:
+            middle = self.some(0.15, side) + article
+        if self.chance(0.3):
+            middle = f'<div class="{self.one(["container", "wrapper", "row", "layout", "x1"])}"><div>{middle}</div></div>'
+        body = f"{''.join(before)}<!-- x -->{middle}{''.join(after)}"
+        return f"<!DOCTYPE html><html><head><title>{self.words(2, 8, False)}</title></head><body>{body}" + self.some(0.9, lambda: "</body></html>")
 
 
 def generated_page(rng: np.random.Generator) -> str:
     """A random page; its main text is marked by the control character \\x01 at the start of each block."""
-    sounds = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 4))) for _ in range(40)]
-
-    def words(least: int, most: int, stop: bool = True) -> str:
-        n = int(rng.integers(least, most + 1))
-        line = ["".join(sounds[i] for i in rng.integers(0, len(sounds), rng.integers(1, 4))) for _ in range(n)]
-        if rng.random() < 0.15:
-            line = [x + "&amp;***$$$%%%###"[5 * (k := int(rng.integers(0, 3))) : 5 * k + 5] for x in line]
-        return " ".join(line).capitalize() + ("." if stop else "")
-
-    def pick(kind: str) -> str:
-        return NAMES[kind][rng.integers(0, len(NAMES[kind]))]
-
-    def box(kind: str, inner: str, tags: tuple = ("div", "section", "div")) -> str:
-        tag = tags[rng.integers(0, len(tags))]
-        mark = ["class", "id"][rng.integers(0, 2)]
-        name = pick(kind) + ["", "-box", "-area", "_1"][rng.integers(0, 4)]
-        return f"<{tag}>{inner}</{tag}>" if tag not in ("div", "section", "ul", "ol") and rng.random() < 0.5 else f'<{tag} {mark}="{name}">{inner}</{tag}>'
-
-    def links(n: int) -> str:
-        kind = rng.integers(0, 3)
-        items = [f'<a href="/{i}">{words(1, 3, False)}</a>' for i in range(n)]
-        return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if kind < 2 else " | ".join(items)
-
-    def paragraph(mark: str) -> str:
-        r = rng.random()
-        body = mark + words(1, 90)
-        if r < 0.65:
-            return f"<p>{body}</p>"
-        if r < 0.72:
-            return f"<p><b>{body}<br>"
-        if r < 0.78:
-            return f"<h{rng.integers(2, 5)}>{mark}{words(1, 8, False)}</h2>"
-        if r < 0.84:
-            return "<ul>" + "".join(f"<li>{mark}{words(2, 20)}</li>" for _ in range(rng.integers(2, 6))) + "</ul>"
-        if r < 0.88:
-            return f"<blockquote><p>{body}</p></blockquote>"
-        if r < 0.92:
-            return f'<p>{mark}{words(3, 20)} <a href="/x">{words(1, 4, False)}</a> {words(1, 30)}</p>'
-        if r < 0.95:
-            return f"<pre>{body}</pre>"
-        return f"<div>{body}</div>"
-
-    def some(chance: float, make) -> str:
-        return make() if rng.random() < chance else ""
-
-    mark = "\x01"
-    between = lambda: some(0.06, lambda: box("ad", words(1, 20), ("div", "aside"))) + some(0.04, lambda: "<script>var a = '<p>';</script>")
-    story = some(0.85, lambda: f"<h1>{mark}{words(1, 14, False)}</h1>") + "".join(paragraph(mark) + between() for _ in range(int(rng.integers(1, 14) ** 1.3)))
-    story += some(0.15, lambda: box("share", links(3)))
-    frame = rng.random()
-    if frame < 0.55:
-        article = f"<article>{story}</article>"
-    elif frame < 0.7:
-        article = f"<main>{story}</main>"
-    else:
-        article = box("main", story, ("div", "section", "div"))
-    article = some(0.1, lambda: "") or (f"<main>{article}</main>" if rng.random() < 0.15 else article)
-    boxed = [
-        some(0.4, lambda: box("head", words(1, 6, False) + some(0.5, lambda: links(4)), ("header", "div"))),
-        some(0.75, lambda: box("menu", links(int(rng.integers(2, 10))), ("nav", "div", "nav"))),
-        some(0.3, lambda: box("notice", f"<p>{words(3, 25)}</p>" + some(0.5, lambda: "<button>" + words(1, 2, False) + "</button>"))),
-        some(0.6, lambda: box("ad", some(0.5, lambda: "<p>") + words(2, 25), ("div", "aside", "div"))),
-        some(0.2, lambda: f"<form><label>{words(1, 3, False)}</label><input name=q><button>{words(1, 2, False)}</button></form>"),
-    ]
-    after = [
-        some(0.3, lambda: box("comments", f"<h3>{words(1, 3, False)}</h3>" + "".join(f"<div><p>{words(2, 40)}</p></div>" for _ in range(rng.integers(1, 8))))),
-        some(0.35, lambda: box("side", f"<h4>{words(1, 3, False)}</h4>" + (links(5) if rng.random() < 0.6 else f"<p>{words(3, 40)}</p>"), ("aside", "div"))),
-        some(0.15, lambda: box("ad", words(2, 25), ("div", "aside"))),
-        some(0.85, lambda: box("foot", "&copy; " + words(1, 12) + some(0.4, lambda: links(3)), ("footer", "div", "footer"))),
-    ]
-    boxed = [boxed[i] for i in rng.permutation(len(boxed))] if rng.random() < 0.3 else boxed
-    inside = some(0.1, lambda: box("comments", "".join(f"<p>{words(2, 30)}</p>" for _ in range(3))))
-    if inside and article.endswith("</article>"):
-        article = article[: -len("</article>")] + inside + "</article>"
-    return f"<!DOCTYPE html><html><head><title>{words(2, 8, False)}</title></head><body>{''.join(boxed)}<!-- x -->{article}{''.join(after)}" + some(0.9, lambda: "</body></html>")
+    return _Writer(rng).page()
 
 
 @functools.lru_cache(maxsize=1)
@@ -444,9 +570,8 @@ def default_labeller() -> Labeller:
     for _ in range(PAGES):
         blocks = blocks_of(generated_page(rng))
         if blocks:
-            labels.append(np.array(["\x01" in t for _, t, _ in blocks]))
-            pages.append([(p, t.replace("\x01", ""), k) for p, t, k in blocks])
-    pages = [[(p, t or ".", k) for p, t, k in page] for page in pages]
+            labels.append(np.array(["\x01" in b.text for b in blocks]))
+            pages.append([replace(b, text=b.text.replace("\x01", "") or ".") for b in blocks])
     return train(pages, labels)
 
 
@@ -456,7 +581,7 @@ def main_texts(pages: list[str | None], labeller: Labeller) -> list[str]:
     lengths = np.array([len(b) for b in blocks], np.int64)
     keep = labeller.probabilities(page_inputs(blocks), lengths) >= 0.5 if lengths.sum() else np.zeros(0, bool)
     ends = np.cumsum(lengths)
-    return ["\n\n".join(t for (_, t, _), k in zip(b, keep[e - n : e], strict=True) if k) for b, e, n in zip(blocks, ends, lengths, strict=True)]
+    return ["\n\n".join(x.text for x, k in zip(b, keep[e - n : e], strict=True) if k) for b, e, n in zip(blocks, ends, lengths, strict=True)]
 
 
 def extract_text(pages: DataFrame, labeller: Labeller | None = None, html: str = "html") -> DataFrame:

@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -50,8 +52,8 @@ def test_html_held_out_accuracy():
     rng, wrong, total = np.random.default_rng(77), 0, 0
     for _ in range(60):
         blocks = html.blocks_of(html.generated_page(rng))
-        truth = np.array(["\x01" in t for _, t, _ in blocks], bool)
-        clean = [(p, t.replace("\x01", "") or ".", k) for p, t, k in blocks]
+        truth = np.array(["\x01" in b.text for b in blocks], bool)
+        clean = [replace(b, text=b.text.replace("\x01", "") or ".") for b in blocks]
         got = html.default_labeller().probabilities(html.page_inputs([clean]), np.array([len(clean)])) >= 0.5 if clean else truth
         wrong, total = wrong + int((got != truth).sum()), total + len(truth)
     assert wrong <= 0.02 * total
@@ -83,20 +85,66 @@ def test_html_broken_pages(page):
     assert isinstance(html.main_texts([page], html.default_labeller())[0], str)
 
 
+@pytest.mark.parametrize("page", ["<div>x" * 20_000, "<b>" * 20_000 + "<td>x</td>" * 20_000, "<ul><li>" * 10_000 + "x", "<span>" * 20_000 + "<p>x" * 20_000, "<div><p>x</div>" * 20_000])
+def test_html_deep_pages_take_no_longer(page):
+    began = time.process_time()
+    blocks = html.blocks_of(page)
+    assert time.process_time() - began < 3 and blocks
+
+
+#: Pages by hand, unlike the generated ones: what is main text has its own list.
+BY_HAND = [
+    (
+        """<html><head><title>x</title></head><body><div id=top><a href=/>Cooking</a> | <a href=/l>List</a> | <a href=/m>Members</a></div><main><h1>Boiling times</h1><p>How long the usual things take, from cold water.</p>
+        <table><thead><tr><th>Food</th><th>Minutes</th></tr></thead><tbody><tr><td>Egg</td><td>7</td></tr><tr><td>Potato</td><td>20</td></tr></tbody></table><p>Add two minutes at height.</p></main>
+        <aside class="related"><h4>See also</h4><ul><li><a href=/1>Frying</a></li><li><a href=/2>Baking</a></li></ul></aside><footer>&copy; 2020 The kitchen. All rights reserved.</footer></body></html>""",
+        ["Boiling times", "How long the usual things take, from cold water.", "Food", "Minutes", "Egg", "7", "Potato", "20", "Add two minutes at height."],
+    ),
+    (
+        """<body><nav class="navbar"><a href=/q>Questions</a><a href=/t>Tags</a><a href=/u>Users</a></nav><div id="question" class="question"><h1>Why does my bread not rise?</h1><div class="post-text"><p>I use dry yeast and warm water, and I wait for an hour.</p>
+        <p>Nothing happens at all. What could be wrong with it?</p><pre><code>500 g flour, 300 g water</code></pre></div></div><div class="comments"><ul><li class="comment">Is the yeast old? <a href="#">ann</a></li><li class="comment">Try sugar.</li></ul></div>
+        <div class="sidebar"><h4>Hot questions</h4><a href=/3>How hot is an oven?</a></div></body>""",
+        ["Why does my bread not rise?", "I use dry yeast and warm water, and I wait for an hour.", "Nothing happens at all. What could be wrong with it?", "500 g flour, 300 g water"],
+    ),
+    (
+        """<table width=100%><tr><td class=menu><a href=a>One</a><br><a href=b>Two</a><br><a href=c>Three</a></td><td><font size=5>My summer by the lake</font><p>We went to the lake in June and stayed for three weeks.<p>The water was cold, but we swam every day.
+        <p>On the last day it rained.</td></tr></table><center><small>Copyright by me. Last changed in May.</small></center>""",
+        ["My summer by the lake", "We went to the lake in June and stayed for three weeks.", "The water was cold, but we swam every day.", "On the last day it rained."],
+    ),
+    (
+        """<html><body><div class="cookie-banner" role="dialog"><p>This site uses cookies to make it better.</p><button>Accept</button></div><header class="masthead"><span>The Daily</span><ul><li><a href=/n>News</a></li><li><a href=/s>Sport</a></li></ul></header>
+        <article class="story"><h2>Bridge is closed for repairs</h2><figure><img src=a.png><figcaption>The bridge in spring.</figcaption></figure><p>The old bridge over the river will be closed until autumn, the city said on Monday.</p><div class="ad">Buy two, get three.</div>
+        <dl><dt>Detour</dt><dd>Over the new bridge.</dd><dt>Cost</dt><dd>Two million.</dd></dl><p>Buses go another way, too.</p><div class="share"><a href=#>Post</a> <a href=#>Mail</a></div></article>
+        <section id="comments"><h3>3 comments</h3><div><b>Joe</b><p>At last!</p></div></section><footer><p>Imprint, contact</p></footer></body></html>""",
+        ["Bridge is closed for repairs", "The bridge in spring.", "The old bridge over the river will be closed until autumn, the city said on Monday.", "Detour", "Over the new bridge.", "Cost", "Two million.", "Buses go another way, too."],
+    ),
+]
+
+
+def test_html_pages_by_hand():
+    wrong = total = 0
+    for page, want in BY_HAND:
+        every = [b.text for b in html.blocks_of(page)]
+        got = html.main_texts([page], html.default_labeller())[0].split("\n\n")
+        assert set(want) <= set(every)
+        wrong, total = wrong + len(set(got) ^ set(want)), total + len(every)
+    assert wrong <= 0.1 * total, (wrong, total)
+
+
 def test_html_head_without_end():
-    texts = lambda page: [t for _, t, _ in html.blocks_of(page)]
+    texts = lambda page: [b.text for b in html.blocks_of(page)]
     assert texts("<html><head><title>no</title><meta charset=x><style>p{}</style><body><p>One</p><p>Two</p></body></html>") == ["One", "Two"]
     assert texts("<head><title>no</title>\n<p>One <b>two</b><head><p>Three") == ["One two", "Three"]
     assert texts("<html><head><link rel=x>\nBare text<p>More") == ["Bare text", "More"]
     assert texts("<head> <script>no</script> <b>Bold</b> text") == ["Bold text"]
-    assert all("head" not in p for p, _, _ in html.blocks_of("<head> Text<p>more"))
+    assert [b.depth for b in html.blocks_of("<head> Text<p>more")] == [0, 1]
 
 
 @pytest.mark.parametrize("tag", ["object", "svg", "canvas", "audio", "video", "template", "math", "noscript"])
 def test_html_hidden_element_without_end(tag):
-    assert [t for _, t, _ in html.blocks_of(f"<body><p>One</p><{tag} width=3><p>Two</p><{tag}><p>Three</p>")] == ["One", "Two", "Three"]
-    assert [t for _, t, _ in html.blocks_of(f"<body><p>One</p><{tag}>no</{tag}><p>Two</p><{tag}><p>Three</p>")] == ["One", "Two", "Three"]
-    assert [t for _, t, _ in html.blocks_of("<p>One</p><script>no<p>no")] == ["One"]
+    assert [b.text for b in html.blocks_of(f"<body><p>One</p><{tag} width=3><p>Two</p><{tag}><p>Three</p>")] == ["One", "Two", "Three"]
+    assert [b.text for b in html.blocks_of(f"<body><p>One</p><{tag}>no</{tag}><p>Two</p><{tag}><p>Three</p>")] == ["One", "Two", "Three"]
+    assert [b.text for b in html.blocks_of("<p>One</p><script>no<p>no")] == ["One"]
 
 
 def test_html_frame(spark):
