@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drivelens.llm import ann, bpe, dedup, html, langid, license, media, mixing, pii, toxicity
+from drivelens.llm.license_texts import TEXTS
 from drivelens.llm.common import connected_components, utf8_parts, word_hashes
 
 WORDS = ["".join(p) for p in zip("abcdefghijklmnopqrst" * 30, "eiouaeioua" * 60, "nrstlmdkpb" * 60, strict=True)]
@@ -541,6 +542,35 @@ def test_license_places(spark, awkward):
     assert license.scan_licenses(awkward).count() == len(AWKWARD) * 2
 
 
+def test_license_texts_are_found_whole_and_changed(spark):
+    rng = random.Random(3)
+    rows, want = [], []
+    for label, _, text in TEXTS:
+        words = license.words_in(text)
+        for change in range(3):
+            kept = list(words)
+            if change:
+                # other words here and there, but not in key phrases
+                fixed = {at + j for t in license.templates() if t.words == words for at, k in t.keys for j in range(len(k))}
+                for i in rng.sample(range(len(kept)), len(kept) // 8):
+                    kept[i] = kept[i] if i in fixed else "other"
+            rows.append((len(rows), " ".join([*prose(rng, 30).split(), *kept, *prose(rng, 20).split()])))
+            want.append(label)
+    rows += [(1000 + i, prose(rng, 200)) for i in range(100)]
+    got = {r["doc_id"]: r for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i]["labels"].split(",") for i, label in enumerate(want))
+    assert all(got[i]["score"] == 1.0 for i in range(0, len(want), 3))
+    assert not any(got[1000 + i]["labels"] for i in range(100))
+
+
+def test_license_postings_are_the_rarest_words():
+    form = license.templates()[3]
+    idf = {w: 1.0 + (w in ("sublicense", "merge", "noninfringement")) for w in form.words}
+    found = license.postings(form, idf)
+    assert {"sublicense", "merge", "noninfringement"} <= {w for w, _ in found} and len({w for w, _ in found}) == license.RARE
+    assert all(form.words[i] == w for w, i in found)
+
+
 # neighbours
 
 
