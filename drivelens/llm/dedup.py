@@ -275,18 +275,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each class the row with the smallest doc_id (any one if several have it).
 
     Classes are told apart by their texts, not by class_id: ids may be null or repeat. Null and empty texts all stay.
-    All columns are returned as they came.
+    All columns are returned as they came, whatever they are called; an empty table stays empty.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    node = F.when(F.length("text") > 0, F.unhex(F.md5(F.col("text").cast("binary")))).alias("__node")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    node = F.when(F.length("text") > 0, F.unhex(F.md5(F.col("text").cast("binary")))).alias("node")
     classes = _classes(docs).filter("node is not null")
     best = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node")).alias("k"))
-    best = best.select(F.col("k.doc_id").alias("__id"), F.col("k.node").alias("__best"))
-    keyed = docs.select(*names, node, F.col("doc_id").alias("__own"))
-    full = keyed.filter("__node is not null")
-    kept = full.join(best, (full["__node"] == best["__best"]) & full["__own"].eqNullSafe(best["__id"]), "inner").drop("__id", "__best")
-    kept = kept.dropDuplicates(["__node", "__own"])
-    return kept.select(*names).unionByName(keyed.filter("__node is null").select(*names))
+    best = best.select(F.col("k.doc_id").alias("best_id"), F.col("k.node").alias("best_node"))
+    keyed = docs.select(whole, node)
+    full = keyed.filter("node is not null")
+    kept = full.join(best, (full["node"] == best["best_node"]) & full["row.doc_id"].eqNullSafe(best["best_id"]), "inner")
+    # of rows with the same text and id, any one
+    kept = kept.groupBy("best_node", "best_id").agg(F.first("row").alias("row"))
+    return kept.select("row.*").unionByName(keyed.filter("node is null").select("row.*"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ ROWS_PER_LANGUAGE = 240
 LONGEST_TRAINING_TEXT = 32768
 ORDER = 4
 MAX_NODES = 6000
+#: What a byte takes that is not coded at all.
+RAW_BITS = 8.0
 #: A text's score compares languages over this many bytes of its mean code length.
 SCORE_BYTES = 16
 _SLICE = 1 << 20
@@ -236,16 +238,21 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 
 def reject_unknown(docs: DataFrame) -> DataFrame:
-    """The documents whose language is recognised, unchanged; those without any letter, or null, are rejected.
+    """The documents in a language that is recognised, with the predicted one in lang where that is null.
 
-    Where no language could be learned, all documents with a letter stay.
+    A document is rejected if its text is null or has no letter, or if no learned language codes it in less than the
+    RAW_BITS a byte that it takes as it is. Where no language could be learned, all documents with a letter stay.
+    Columns keep their names, types and order, whatever they are called; repeated rows each stay or go; an empty table
+    stays empty.
     """
     model = fit_language_model(docs)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     if not model.languages:
         small_batches(docs.sparkSession)
-        return docs.filter(_with_letters("text"))
-    found = predict_language(docs, model, "__")
-    return found.filter(F.col("__lang_pred") != "und").select(*docs.columns)
+        return docs.select(whole, _with_letters("text").alias("good")).filter("good").select("row.*")
+    found = docs.select(whole, language_udf(docs.sparkSession, model)(F.col("text")).alias("language"))
+    kept = found.filter((F.col("language.lang_pred") != "und") & (F.col("language.bits_per_byte") < RAW_BITS))
+    return kept.select(*[(F.coalesce("row.lang", "language.lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`")) for c in docs.columns])
 
 
 def accuracy(predicted: pd.DataFrame) -> float:

@@ -133,18 +133,21 @@ def _copies(rows: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    key = [F.xxhash64("doc_id", "source", "text").alias("__key"), F.hash("text", "source", "doc_id").alias("__hash")]
+    """The rows of docs, each as often as the mix takes it.
+
+    Columns keep their names, types and order, whatever they are called. Rows without text or words are copied at
+    their source's rate; null sources are a source. Rows that are equal in id, source and text share the copies that
+    they get together, dealt out in turn. An empty table stays empty.
+    """
+    key = [F.xxhash64("doc_id", "source", "text").alias("key"), F.hash("text", "source", "doc_id").alias("hash")]
     # only ids and sizes are shuffled to rank the rows; the copies come back to the texts by their keys
     counts = _copies(docs.select("doc_id", "source", size_of().alias("size"), *key))
-    counts = counts.groupBy("__key", "__hash").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    joined = docs.select(*own, *key).join(counts, ["__key", "__hash"])
-    # repeated rows share their copies, dealt out in turn
-    turn = F.row_number().over(Window.partitionBy("__key", "__hash").orderBy("__rows"))
-    extra = F.when(turn <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    share = joined.withColumn("__n", (F.expr("__copies div __rows") + extra).cast("int")).filter("__n > 0")
-    return share.select(*own, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).select(*own)
+    counts = counts.groupBy("key", "hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key).join(counts, ["key", "hash"])
+    turn = F.row_number().over(Window.partitionBy("key", "hash").orderBy("rows"))
+    extra = F.when(turn <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    share = joined.withColumn("n", (F.expr("copies div rows") + extra).cast("int")).filter("n > 0")
+    return share.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

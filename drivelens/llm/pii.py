@@ -178,10 +178,16 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
-    """docs with every span in text replaced by its kind in angle brackets, and n_chars, if there, counted anew."""
+    """docs with every span in text replaced by its kind in angle brackets, and n_chars, if there, counted anew.
+
+    All rows stay, in place and as often as they are there; null and empty texts stay as they are, other columns too.
+    """
     small_batches(docs.sparkSession)
-    out = docs.withColumn("text", masked("text"))
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), masked("text").alias("clean"))
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return whole.select(*[(new[c].alias(c) if c in new else F.col(f"row.`{c}`")) for c in docs.columns])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -395,6 +395,21 @@ def test_language_of_long_texts_is_learnt(spark):
     assert langid.accuracy(got) == 1.0
 
 
+def test_rejected_languages(spark):
+    rng = random.Random(12)
+    rows = [(i, sentences(rng, ("aa", "bb", "cc")[i % 3], 6), ("aa", "bb", "cc")[i % 3], 1) for i in range(90)]
+    odd = [(500, "\u0416\u0429\u042d\u042e\u0427\u042f" * 40, None, 1), (501, None, None, 1), (502, "12 ?", None, 1), (503, sentences(rng, "bb", 5), None, 1), (503, sentences(rng, "bb", 5), None, 1), (504, "", "aa", 1)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, `a.score` int")
+    kept = langid.reject_unknown(docs)
+    got = kept.collect()
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    # by brute force: letters, and fewer bits a byte than the text has
+    model = langid.fit_language_model(docs)
+    fits = lambda t: bool(t) and any(c.isalpha() for c in t) and model.code_lengths(*utf8_parts(pa.array([t])))[0].min() < 8 * len(t.encode())
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, t, *_ in rows + odd if fits(t))
+    assert {r["lang"] for r in got if r["doc_id"] == 503} == {"bb"} and not any(r["doc_id"] == 500 for r in got)
+
+
 def test_nothing_is_rejected_for_want_of_labels(spark):
     docs = spark.createDataFrame([(1, "words here", None), (2, "123 !", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in langid.reject_unknown(docs).collect()) == [1, 4]
@@ -854,6 +869,101 @@ def test_pipeline(spark, tmp_path, empty):
     assert stage["personal_data"](spark, docs, "").filter("text like '%me@x.org%'").count() == 0
 
 
+def test_pipeline_stages_equal_brute_force(spark, awkward):
+    import corpus_pipeline
+    import tiktoken  # noqa: F401
+
+    stage = dict(corpus_pipeline.STAGES)
+    odd = awkward.withColumns({"a.b": F.lit(1), "copies": F.lit("c"), "key": F.lit("k"), "node": F.lit("n"), "row": F.lit("r"), "n": F.lit(0)})
+    for name in ("near_duplicates", "personal_data", "mixture", "language"):
+        out = stage[name](spark, odd, "")
+        assert out.dtypes == odd.dtypes, name
+        assert stage[name](spark, odd.limit(0), "").count() == 0
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 20 + i % 60), None, ("a", "b", "c", None)[(i * i) % 4 if i % 7 else 3], 5) for i in range(400)]
+    docs = docs_of(spark, rows)
+    mixed = stage["mixture"](spark, docs, "").toPandas()
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    source = {r[0]: r[3] for r in rows}
+    sizes = {k: sum(size[i] for i in size if source[i] == k) for k in ("a", "b", "c", None)}
+    sizes = {k: v for k, v in sizes.items() if v}
+    targets = plain_targets(sizes)
+    times = mixed["doc_id"].value_counts()
+    assert times.max() <= 3
+    for k, want in targets.items():
+        taken = sum(n * size[i] for i, n in times.items() if source[i] == k)
+        assert abs(taken - want) <= 0.02 * want + 80
+    enc = bpe.encoding(*bpe.tokenizer())
+    for r in stage["tokens"](spark, docs.limit(20), "").collect():
+        ids = enc.encode_ordinary(next(t for i, t, *_ in rows if i == r["doc_id"]))
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Small tables with nulls, repeats and ties, as the queries read them."""
+    folder = tmp_path_factory.mktemp("sf")
+    rng = random.Random(21)
+    rows = [(i, sentences(rng, ("aa", "bb", "cc")[i % 3], 4) + (" vile rot" * 3 if i % 5 == 0 else "") + (" under the MIT license" if i % 9 == 0 else ""), ("aa", "bb", "cc")[i % 3], ("s", "t", None)[i % 3], 9) for i in range(150)]
+    rows += [(150 + i, t, None, None, None) for i, t in enumerate(AWKWARD)] + rows[:3] + [(None, "no id here", None, "s", 1)]
+    docs_of(spark, rows).withColumn("score", F.lit("x")).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(120)] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    pages = [(1, "u", BY_HAND[0][0]), (1, "u", BY_HAND[0][0]), (2, None, None), (None, "v", ""), (3, "w", "<p>" * 5000)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(80)] + [(20, [1.0] * 8), (None, [1.0] * 8), (200, None), (220, []), (240, [0.0] * 8), (260, [float("nan")] * 8)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder), rows, vectors
+
+
+CONTRACT = {
+    "op1_html": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+    "op2_probminhash": {"doc_id": "bigint", "class_id": "bigint"},
+    "op3_pii": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    "op4_language": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op5_media": {"vec_id": "bigint", "class_id": "bigint", "n_links": "bigint"},
+    "op6_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op7_license": {"doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"},
+    "op8_hilbert": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
+    "op9_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op10_mixing": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+}
+
+
+@pytest.mark.parametrize("name", list(CONTRACT))
+def test_queries_return_what_they_must(spark, tables, name):
+    from drivelens.llm import queries
+
+    folder, rows, vectors = tables
+    found = queries.queries()[name](spark, folder)
+    assert CONTRACT[name].items() <= dict(found.dtypes).items()
+    got = found.collect()
+    if name == "op1_html":
+        assert len(got) == 5 and [r["text"] for r in got if r["page_id"] == 1] == ["\n\n".join(BY_HAND[0][1])] * 2
+    elif name == "op8_hilbert":
+        want = [(i, rank, j, s) for i, near in plain_nearest([(i, [float(np.float32(c)) for c in v] if v else v) for i, v in vectors if i is not None], lambda i: i % 20 == 0) for rank, (j, s) in enumerate(near, 1)]
+        assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == sorted(x[:3] for x in want)
+        assert all(abs(r["score"] - s) < 1e-12 for r, s in zip(sorted(got, key=lambda r: (r["query_id"], r["rank"], r["vec_id"])), [x[3] for x in sorted(want)], strict=True))
+    elif name == "op5_media":
+        assert len(got) == len(vectors)
+    else:
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+    if name in ("op4_language", "op9_toxicity"):
+        base, rest = (5, 0) if name == "op4_language" else (3, 1)
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % base == rest) for r in got if r["doc_id"] is not None)
+        assert all(0 <= r["score"] <= 1 for r in got)
+    if name == "op4_language":
+        text = {r[0]: r[1] for r in rows}
+        assert all((r["lang_pred"] == "und") == (not text[r["doc_id"]] or not any(c.isalpha() for c in text[r["doc_id"]])) for r in got)
+    if name == "op6_bpe":
+        enc, text = bpe.encoding(*bpe.tokenizer()), {r[0]: r[1] for r in rows}
+        for r in got:
+            ids = enc.encode_ordinary(text[r["doc_id"]] or "")
+            assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+            assert r["decoded_sha256"] == hashlib.sha256((text[r["doc_id"]] or "").encode()).hexdigest()
+    if name == "op10_mixing":
+        assert all(r["taken"] <= 3 * r["size"] for r in got)
+
+
 def test_empty_tables(spark):
     docs = docs_of(spark, [])
     path, pattern = bpe.tokenizer()
