@@ -15,27 +15,34 @@ from drivelens.llm.common import ensure_checkpoint_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is recognised; null texts and those without a letter go."""
+    """Documents in a language that is recognised, with the predicted one where lang is null.
+
+    Null texts, texts without a letter and those that no learned language codes in fewer bits than they have go.
+    Repeated rows are judged alike; extra columns stay; an empty table stays empty.
+    """
     return langid.reject_unknown(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: that of the smallest id, any one of several.
+
+    Null and empty texts all stay; extra columns stay; an empty table stays empty.
+    """
     return dedup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts replaced by its kind."""
+    """All documents, with personal data in their texts replaced by its kind; null texts, repeats and extra columns stay."""
     return pii.mask_personal_data(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it, null sources being one; extra columns stay; nothing of an empty table."""
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document of the mix."""
+    """doc_id, source, token counts and digests of each document of the mix, a row for each; null texts have no tokens."""
     return bpe.encode_documents(docs.select("doc_id", "source", "text"), *bpe.tokenizer()).drop("text")
 
 
@@ -45,13 +52,23 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("person
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder of checkpoints and read again."""
+    """All stages over documents, each written to the shared folder of checkpoints and read again.
+
+    A stage's folder goes once the next one is written; the last one is what the result reads.
+    """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            _delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
