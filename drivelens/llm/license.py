@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .license_texts import BASE, TEXTS
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Share of a template's IDF that must lie at the right places once its key phrases are verified.
 LEAST_SHARE = 0.5
@@ -58,8 +59,11 @@ def templates() -> list[Template]:
 
 
 def words_of(text: str = "text") -> Column:
-    """Words of a text after A-Z are lower-cased; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Words of a text after A-Z are lower-cased; null has none.
+
+    Split at what is no word: matching the words one by one would copy the whole text for each of them.
+    """
+    return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), APART), "")
 
 
 def _literals(words: list[str]) -> Column:
@@ -69,7 +73,7 @@ def _literals(words: list[str]) -> Column:
 def idf_of(docs: DataFrame, forms: list[Template]) -> dict[str, float]:
     """IDF over all texts of every template word. The driver gets a number for each such word, whatever the corpus."""
     vocabulary = sorted({w for t in forms for w in t.words})
-    counts = docs.select(F.explode(F.array_intersect(words_of(), _literals(vocabulary))).alias("word")).groupBy("word").count()
+    counts = docs.select(F.explode(F.array_distinct(F.filter(words_of(), lambda w: w.isin(vocabulary)))).alias("word")).groupBy("word").count()
     df = {r["word"]: r["count"] for r in counts.collect()}
     n = docs.count()
     return {w: round(math.log((n + 1) / (df.get(w, 0) + 1)) + 1, 9) for w in vocabulary}
@@ -137,7 +141,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     own = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     worded = docs.select(*own, words_of().alias("__words"))
     words = F.col("__words")
-    seen = worded.select(*own, "__words", F.array_intersect(words, _literals(index)).alias("__rare"))
+    seen = worded.select(*own, "__words", F.array_distinct(F.filter(words, lambda w: w.isin(index))).alias("__rare"))
+    # the places of the indexed words that a text has; most texts have none
     hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda h: F.array_contains("__rare", h["word"]))
     none = F.array().cast("array<array<struct<at:bigint,share:double>>>")
     placed = seen.select(*own, "__words", F.when(F.size("__rare") > 0, hits).alias("__hits"))
