@@ -24,8 +24,11 @@ SALTS = 32
 
 
 def size_of(text: str = "text") -> Column:
-    """Words of a text: maximal runs of characters other than space, tab and line ends."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Words of a text: maximal runs of characters other than space, tab and line ends.
+
+    Split at the white space: counting matches would copy the whole text for each of them.
+    """
+    return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
 def _weights(sources: DataFrame) -> DataFrame:
