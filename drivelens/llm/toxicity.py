@@ -49,6 +49,8 @@ BROADCAST_LABELS = 2_000_000
 BROADCAST_ROWS = 4_000_000
 #: Words that a counting task gathers before it passes their counts on.
 BUFFER = 1 << 21
+#: Parts that a context's bigrams are dealt out in: a frequent word is followed by very many.
+PARTS = 16
 #: The context of a text's first word.
 START = -1
 _SLICE = 1 << 21
@@ -144,6 +146,9 @@ def _counted(batches):
         for fold, parts in held.items():
             first, second = (np.concatenate(x) for x in zip(*parts, strict=True))
             _, at, n = np.unique(pair_keys(first, second), return_index=True, return_counts=True)
+            # a context's bigrams follow one another, which packs them well
+            order = np.lexsort((second[at] % PARTS, first[at]))
+            at, n = at[order], n[order]
             yield pa.RecordBatch.from_arrays([pa.array(first[at]), pa.array(second[at]), pa.array(np.full(len(at), fold, np.int32)), pa.array(n.astype(np.int64))], ["first", "second", "fold", "n"])
 
     for batch in batches:
@@ -173,9 +178,10 @@ def fit_model(labelled: DataFrame) -> KneserNey:
     counted = rows.filter("not held").select("text", (number * 2 + F.col("toxic")).alias("fold"))
     is_toxic = F.col("fold") % 2 == 1
     by_class = [agg for c, x in ((is_toxic, "t"), (~is_toxic, "o")) for agg in (F.sum(F.when(c, F.col("n")).otherwise(0)).alias(x), F.sum(F.when(c, 1).otherwise(0)).alias(f"k{x}"))]
-    # tasks have summed what they saw: dealt out by bigram once, counts are summed by fold and then by class in place
-    dealt = counted.mapInArrow(_counted, "first long, second long, fold int, n long").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "first", "second")
-    pairs = dealt.groupBy("first", "second", "fold").agg(F.sum("n").alias("n")).groupBy("first", "second").agg(*by_class).persist(StorageLevel.DISK_ONLY)
+    # tasks have summed what they saw: dealt out by context once, counts are summed by fold and then by class in place
+    dealt = counted.mapInArrow(_counted, "first long, second long, fold int, n long").withColumn("part", F.col("second") % PARTS)
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "first", "part")
+    pairs = dealt.groupBy("first", "part", "second", "fold").agg(F.sum("n").alias("n")).groupBy("first", "part", "second").agg(*by_class).drop("part").persist(StorageLevel.DISK_ONLY)
     model = _estimate(pairs)
     pairs.unpersist()
     if model.words is not None:
