@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,20 +64,28 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], least:
 
 
 def greedy_match(pairs: DataFrame, keys: Sequence[str], left: str = "i", right: str = "j") -> DataFrame:
-    """One-to-one pairs, the largest overlap first and of equals the larger indexes [TK-04]. keys: session and label, for pairs share a label."""
+    """One-to-one pairs, the largest overlap first and of equals the larger indexes [TK-04]. keys: session and label, for pairs share a label.
 
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["overlap", left, right], ascending=False)
-        seen_left, seen_right, keep = set(), set(), []
-        for i, j in zip(rows[left], rows[right], strict=True):
-            free = i not in seen_left and j not in seen_right
-            keep.append(free)
-            if free:
-                seen_left.add(i)
-                seen_right.add(j)
-        return rows[keep]
-
-    return pairs.groupBy(*keys).applyInPandas(match, pairs.schema)
+    Each pair depends on those before it, so they stream in that order through their key's task, many keys to a call.
+    """
+    names = [*keys, left, right]
+
+    def match(batches):
+        key, seen_left, seen_right = None, set(), set()
+        for rows in batches:
+            keep = []
+            for *own, i, j in zip(*(rows[c].tolist() for c in names), strict=True):
+                if own != key:
+                    key, seen_left, seen_right = own, set(), set()
+                free = i not in seen_left and j not in seen_right
+                keep.append(free)
+                if free:
+                    seen_left.add(i)
+                    seen_right.add(j)
+            yield rows[keep]
+
+    ordered = pairs.repartition(*keys).sortWithinPartitions(*keys, F.desc("overlap"), F.desc(left), F.desc(right))
+    return ordered.mapInPandas(match, pairs.schema)
 
 
 def label_at(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, name: str = "label_at", missing: str | None = None) -> DataFrame:
@@ -121,10 +128,24 @@ def change_segments(states: DataFrame, keys: Sequence[str], time: str, state: st
 def keep_apart(rows: DataFrame, keys: Sequence[str], time: str, gap: int, strict: bool = True) -> DataFrame:
     """Times more than `gap` after the last one that was kept (or, not strict, at least that) [AG-10, WN-20].
 
-    The comparison is with the last kept time, not the last time: a fold over each key's ordered times.
+    The comparison is with the last kept time, not the last time: each key's times stream in order through its task,
+    many keys to a call, and all that is held is the last one kept.
     """
-    begin = F.array().cast("array<bigint>")
-    far = (lambda t, last: t - last > gap) if strict else (lambda t, last: t - last >= gap)
-    times = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(time).cast("long"))).alias("t"))
-    keep = lambda kept, t: F.when(F.size(kept) == 0, F.array(t)).when(far(t, F.try_element_at(kept, F.lit(-1))), F.concat(kept, F.array(t))).otherwise(kept)
-    return times.select(*keys, F.explode(F.aggregate("t", begin, keep)).alias(time))
+    names = [*keys, time]
+    least = gap + 1 if strict else gap
+
+    def keep(batches):
+        key, last = None, None
+        for part in batches:
+            kept = []
+            for *own, t in zip(*(part[c].tolist() for c in names), strict=True):
+                if own != key or t - last >= least:
+                    key, last = own, t
+                    kept.append(True)
+                else:
+                    kept.append(False)
+            yield part[kept]
+
+    whole = rows.select(*keys, F.col(time).cast("long").alias(time)).filter(F.col(time).isNotNull())
+    ordered = whole.repartition(*keys).sortWithinPartitions(*keys, time)
+    return ordered.mapInPandas(keep, whole.schema)
