@@ -154,11 +154,6 @@ def matched(spark, sf):
     return intervals.greedy_match(pairs(spark, sf), ["sid", "label"])
 
 
-@query("tk04_greedy_match")
-def tk04(spark, sf):
-    return matched(spark, sf).select("sid", "label", F.col("i").alias("gt_idx"), F.col("j").alias("run_idx"), F.col("overlap").alias("overlap_us"))
-
-
 # a pair that is the largest of all its members' pairs is in every greedy match: what these leave, SQL matches again
 ROUND = """{1} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid, label, i ORDER BY overlap_us DESC, i DESC, j DESC) AS x, row_number() OVER (PARTITION BY sid, label, j ORDER BY overlap_us DESC, i DESC, j DESC) AS y FROM {0}) WHERE x = 1 AND y = 1),
 {2} AS (SELECT p.* FROM {0} p WHERE NOT EXISTS (SELECT 1 FROM {1} m WHERE m.sid = p.sid AND m.label = p.label AND (m.i = p.i OR m.j = p.j)))"""
@@ -166,6 +161,11 @@ COLUMNS = "sid, label, i, j, overlap_us, start_error, end_error"
 MATCH = ",\n".join([PAIRS] + [ROUND.format("pr" if k == 0 else f"left{k}", f"won{k + 1}", f"left{k + 1}") for k in range(6)]) + ",\nmt AS (" + " UNION ALL ".join(f"SELECT {COLUMNS} FROM won{k + 1}" for k in range(6)) + ")"
 
 
+@query("tk04_greedy_match", f"{M}, {MATCH} SELECT sid, label, CAST(i AS INTEGER) AS gt_idx, CAST(j AS INTEGER) AS run_idx, overlap_us FROM mt")
+def tk04(spark, sf):
+    return matched(spark, sf).select("sid", "label", F.col("i").alias("gt_idx"), F.col("j").alias("run_idx"), F.col("overlap").alias("overlap_us"))
+
+
 @query("or20_match", f"{M}, {MATCH} SELECT sid, label, CAST(i AS INTEGER) AS gt_idx, CAST(j AS INTEGER) AS run_idx, start_error AS start_error_us, end_error AS end_error_us FROM mt")
 def or20(spark, sf):
     rows = matched(spark, sf)

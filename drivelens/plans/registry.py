@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import interval_queries, more_queries, object_queries, scalar_queries, series_queries  # noqa: F401
+    from . import edit_queries, interval_queries, more_queries, object_queries, scalar_queries, series_queries  # noqa: F401
