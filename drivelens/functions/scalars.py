@@ -62,6 +62,17 @@ def half_even(x: Column) -> Column:
     return F.rint(x).cast("long")
 
 
+def rotation_columns(w: Column, x: Column, y: Column, z: Column) -> Column:
+    """The rotation of a unit quaternion, its nine numbers by rows [FN-16]."""
+    return F.array(*[c for row in rotation_matrix(w, x, y, z) for c in row])
+
+
+def signed_text(value: Column, digits: int = 1, unit: str = "") -> Column:
+    """A fixed-point number with its sign, never -0, or unknown [FN-15]."""
+    known = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.when(known, F.format_string(f"%+.{digits}f{unit}", rounded(value, digits))).otherwise("unknown")
+
+
 def signed(value: float | None, digits: int = 1, unit: str = "") -> str:
     """A fixed-point number with its sign, never -0, or unknown [FN-07, FN-15]."""
     if value is None or not math.isfinite(value):

@@ -75,3 +75,9 @@ def key_observations(observed: DataFrame, keys: Sequence[str], time: str, now: s
     merged = picks.groupBy(*by).agg(F.min("__o").alias("__o"), F.transform(F.array_sort(F.collect_list(F.struct("__o", "__n"))), lambda x: x["__n"]).alias("reasons"), F.first(now).alias(now))
     w = Window.partitionBy(*keys).orderBy("__o")
     return merged.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).drop("__r", "__o")
+
+
+def landmarks(rows: DataFrame, vx: str, vy: str, height: str, kind: str, kinds: Sequence[str], most_speed: float = 0.2, most_height: float = 5.0) -> DataFrame:
+    """Objects that stand still, are of a plausible height and of kinds that stay in place [FLT-09]."""
+    still = F.col(vx) * F.col(vx) + F.col(vy) * F.col(vy) <= most_speed * most_speed
+    return rows.filter(still & (F.col(height) > 0) & (F.col(height) < most_height) & F.col(kind).isin(*kinds))

@@ -191,3 +191,21 @@ def resolve_lights(messages: DataFrame, track: DataFrame, keys: Sequence[str], s
     some = F.exists(F.coalesce("ahead", F.array().cast("array<bigint>")), lambda i: F.map_contains_key("lights", i))
     text = F.when(F.col("light_ahead").isNotNull(), F.col("light_ahead")).when(F.coalesce(F.size("ahead"), F.lit(0)) <= 0, "none").when(some, read).otherwise("unknown")
     return joined.select(*keys, "t_ns", text.alias("light"))
+
+
+def context_window(rows: DataFrame, keys: Sequence[str], index: str, past: int, future: int) -> DataFrame:
+    """rows with lo and hi, the first and last sample of each one's window, clipped to its key's samples [WN-11]."""
+    every = Window.partitionBy(*keys)
+    return rows.withColumn("lo", F.greatest(F.col(index) - past, F.min(index).over(every))).withColumn("hi", F.least(F.col(index) + future, F.max(index).over(every)))
+
+
+def window_context(rows: DataFrame, value: str, flag: Column, keys: Sequence[str], index: str, past: int, future: int) -> DataFrame:
+    """rows with change, high and low of the value over each one's window and how many rows are flagged in it [AG-13]."""
+    w = Window.partitionBy(*keys).orderBy(index).rangeBetween(-past, future)
+    return rows.withColumns({"change": F.last(value).over(w) - F.first(value).over(w), "high": F.max(value).over(w), "low": F.min(value).over(w), "flagged": F.sum(flag.cast("long")).over(w)})
+
+
+def in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], what: str, name: str = "events") -> DataFrame:
+    """keys and the array of what happened, by time and then by the further columns [TK-07]."""
+    listed = F.array_sort(F.collect_list(F.struct(*order, F.col(what).alias("__what"))))
+    return rows.groupBy(*keys).agg(F.transform(listed, lambda x: x["__what"]).alias(name))

@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANSWER = "lateral string, lateral_probs map<string,double>, longitudinal string, longitudinal_probs map<string,double>, model string, input_tokens long, provider string"
@@ -119,3 +119,9 @@ def estimate(prompts: DataFrame) -> DataFrame:
     """prompts, tokens and cost of asking for all scripts [AG-21]."""
     tokens = F.sum(F.length("script")) / CHARS_PER_TOKEN + F.count("*") * OVERHEAD_TOKENS
     return prompts.agg(F.count("*").alias("prompts"), tokens.cast("long").alias("input_tokens"), (tokens * PRICE_PER_MILLION / 1e6).alias("cost_usd"))
+
+
+def ranked(probs: Column) -> Column:
+    """Labels of a map of probabilities, the likeliest first and of equals by name; those that are no number or negative go [TK-06]."""
+    good = F.filter(F.map_entries(probs), lambda e: e["value"].isNotNull() & ~F.isnan(e["value"]) & (e["value"] >= 0) & (e["value"] < float("inf")))
+    return F.transform(F.array_sort(F.transform(good, lambda e: F.struct((-e["value"]).alias("less"), e["key"].alias("label")))), lambda e: e["label"])

@@ -39,9 +39,23 @@ def wn17_basic(spark, sf):
     return scenes.filter("start_us < end_us")
 
 
-@query("wn14_smooth")
+# a merge a round: the first of the shortest runs joins its longer neighbour, and equal neighbours become one
+SMOOTHED = f"""WITH RECURSIVE {EVENTS}, {SEGMENTS}, {SEG_RUNS}, ru AS (SELECT sid, seg, run, label, count(*) AS n FROM sr GROUP BY ALL),
+ls AS (SELECT sid, seg, list({{'label': label, 'n': n}} ORDER BY run) AS l FROM ru GROUP BY sid, seg),
+sm(sid, seg, l, round) AS (SELECT sid, seg, l, 0 FROM ls
+  UNION ALL SELECT sid, seg, CASE WHEN i > 1 AND i < len(l) AND l[i - 1].label = l[i + 1].label THEN l[1 : i - 2] || [{{'label': l[i - 1].label, 'n': l[i - 1].n + l[i].n + l[i + 1].n}}] || l[i + 2 :]
+    WHEN i = 1 OR (i < len(l) AND l[i + 1].n > l[i - 1].n) THEN l[1 : i - 1] || [{{'label': l[i + 1].label, 'n': l[i].n + l[i + 1].n}}] || l[i + 2 :]
+    ELSE l[1 : i - 2] || [{{'label': l[i - 1].label, 'n': l[i - 1].n + l[i].n}}] || l[i + 1 :] END, round + 1
+  FROM (SELECT *, list_position([x.n FOR x IN l], list_min([x.n FOR x IN l])) AS i FROM sm) WHERE len(l) > 1 AND l[i].n < 2),
+fin AS (SELECT sid, seg, arg_max(l, round) AS l FROM sm GROUP BY sid, seg),
+part AS (SELECT sid, seg, unnest(l) AS x, unnest(range(len(l))) AS j FROM fin), cum AS (SELECT sid, seg, x.label AS label, x.n AS n, sum(x.n) OVER (PARTITION BY sid, seg ORDER BY j) AS upto FROM part),
+nb AS (SELECT sid, seg, t, event_id, row_number() OVER (PARTITION BY sid, seg ORDER BY t, event_id) AS r FROM sg)
+SELECT nb.sid, nb.seg, nb.t AS t_us, nb.event_id, cum.label FROM nb JOIN cum ON cum.sid = nb.sid AND cum.seg = nb.seg AND nb.r <= cum.upto AND nb.r > cum.upto - cum.n"""
+
+
+@query("wn14_smooth", SMOOTHED)
 def wn14(spark, sf):
-    return stitch.smooth_column(segmented(spark, sf).select("sid", "seg", F.col("t").alias("t_us"), "label"), ["sid", "seg"], ["t_us"], "label", 2)
+    return stitch.smooth_column(segmented(spark, sf).select("sid", "seg", F.col("t").alias("t_us"), "event_id", "label"), ["sid", "seg"], ["t_us", "event_id"], "label", 2)
 
 
 @query(

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, review, scoring, series
+from ..operators import asof, objects, review, scoring, series
 from .lift import EVENTS, HOUR, NUMBERED, SESSION, events, numbered, read
 from .registry import query
 
 
 @query("jn03_token_joins", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2 GROUP BY 1, 2")
 def jn03(spark, sf):
+    """Line items as images, suppliers as their cameras and nations as poses."""
+    from ..sources.sqlite import image_poses
+
     t = lambda n: read(spark, sf, n)
-    rows = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation").filter("n_regionkey = 2"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+    cameras = t("supplier").select(F.col("s_suppkey").alias("token"), F.col("s_nationkey").alias("nation"))
+    nations = t("nation").filter("n_regionkey = 2").select(F.col("n_nationkey").alias("token"))
+    images = t("lineitem").join(cameras.select(F.col("token").alias("l_suppkey"), F.col("nation").alias("pose")), "l_suppkey")
+    return image_poses(images, cameras, nations, "l_suppkey", "pose").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -31,7 +36,8 @@ def jn07(spark, sf):
 
 @query("flt09_landmarks", "SELECT l_shipmode_id, count(*) AS n FROM (SELECT l_linenumber AS l_shipmode_id, * FROM lineitem WHERE l_tax * l_tax <= 0.0016 AND l_quantity > 0 AND l_quantity < 26 AND l_returnflag IN ('A', 'R')) GROUP BY 1")
 def flt09(spark, sf):
-    kept = read(spark, sf, "lineitem").filter("l_tax * l_tax <= 0.0016 and l_quantity > 0 and l_quantity < 26 and l_returnflag in ('A', 'R')")
+    rows = read(spark, sf, "lineitem").withColumn("still", F.lit(0.0))
+    kept = objects.landmarks(rows, "l_tax", "still", "l_quantity", "l_returnflag", ("A", "R"), 0.04, 26.0)
     return kept.groupBy(F.col("l_linenumber").alias("l_shipmode_id")).agg(F.count("*").alias("n"))
 
 
@@ -70,8 +76,8 @@ def ag01(spark, sf):
     FROM nu WINDOW w AS (PARTITION BY sid ORDER BY i ROWS BETWEEN 5 PRECEDING AND 8 FOLLOWING)""".replace("::BIGINT AS errors", " AS errors"),
 )
 def ag13(spark, sf):
-    w = Window.partitionBy("sid").orderBy("i").rangeBetween(-5, 8)
-    return numbered(spark, sf).select("sid", "i", F.round(F.last("v").over(w) - F.first("v").over(w), 6).alias("change"), F.max("v").over(w).alias("high"), F.min("v").over(w).alias("low"), F.sum((F.col("label") == "error").cast("long")).over(w).alias("errors"))
+    found = series.window_context(numbered(spark, sf), "v", F.col("label") == "error", SESSION, "i", 5, 8)
+    return found.select("sid", "i", F.round("change", 6).alias("change"), "high", "low", F.col("flagged").alias("errors"))
 
 
 @query("ag21_estimate", "SELECT role, count(*) AS prompts, CAST(floor(sum(length(text)) / 4.0 + count(*) * 1400) AS BIGINT) AS input_tokens FROM conversations GROUP BY role")
@@ -83,15 +89,17 @@ def ag21(spark, sf):
 
 @query("tk06_ranked", "SELECT user_id, string_agg(event_type, '>' ORDER BY n DESC, event_type) AS ranked FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
 def tk06(spark, sf):
-    counts = read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "event_type")))
-    return counts.groupBy("user_id").agg(F.array_join(F.transform(listed, lambda x: x["event_type"]), ">").alias("ranked"))
+    from .inference import ranked
+
+    counts = read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("n"))
+    probs = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("p"))
+    return probs.select("user_id", F.array_join(ranked(F.col("p")), ">").alias("ranked"))
 
 
 @query("tk07_event_order", f"WITH {EVENTS} SELECT sid, string_agg(label, ',' ORDER BY t, event_id) AS labels FROM ev WHERE k < 20 GROUP BY sid")
 def tk07(spark, sf):
-    listed = F.array_sort(F.collect_list(F.struct("t", "event_id", "label")))
-    return events(spark, sf).filter("k < 20").groupBy("sid").agg(F.array_join(F.transform(listed, lambda x: x["label"]), ",").alias("labels"))
+    listed = series.in_order(events(spark, sf).filter("k < 20"), SESSION, ["t", "event_id"], "label")
+    return listed.select("sid", F.array_join("events", ",").alias("labels"))
 
 
 @query(
@@ -111,12 +119,4 @@ def wn06(spark, sf):
 
 @query("wn11_windows", f"WITH {NUMBERED} SELECT sid, i, greatest(i - 4, 0) AS lo, least(i + 6, max(i) OVER (PARTITION BY sid)) AS hi FROM nu")
 def wn11(spark, sf):
-    last = F.max("i").over(Window.partitionBy("sid"))
-    return numbered(spark, sf).select("sid", "i", F.greatest(F.col("i") - 4, F.lit(0)).alias("lo"), F.least(F.col("i") + 6, last).alias("hi"))
-
-
-@query("scene_lengths", "WITH " + EVENTS + ", g AS (SELECT sid, label, count(*) AS n FROM ev GROUP BY 1, 2) SELECT label, max(n) AS most, CAST(sum(n) AS BIGINT) AS steps FROM g GROUP BY 1")
-def scene_lengths(spark, sf):
-    return events(spark, sf).groupBy("sid", "label").agg(F.count("*").alias("n")).groupBy("label").agg(F.max("n").alias("most"), F.sum("n").alias("steps"))
-
-
+    return series.context_window(numbered(spark, sf), SESSION, "i", 4, 6).select("sid", "i", "lo", "hi")

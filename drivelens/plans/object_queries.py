@@ -158,12 +158,10 @@ ed AS (SELECT id AS a, id AS b, 0 AS o, 'same' AS relation FROM ln UNION ALL SEL
 rl AS (SELECT a, b, arg_min(relation, o) AS relation FROM ed WHERE b IS NOT NULL GROUP BY a, b)"""
 
 
-@query("jn22_relation", f"WITH {RELATIONS} SELECT x.id AS a, y.id AS b, coalesce(rl.relation, 'other') AS relation FROM ln x CROSS JOIN ln y LEFT JOIN rl ON rl.a = x.id AND rl.b = y.id WHERE (x.id + y.id) % 2 = 0")
+@query("jn22_relation", f"WITH {RELATIONS}, x AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS a, CAST(c_custkey % 25 AS BIGINT) AS b FROM customer) SELECT x.a, x.b, coalesce(rl.relation, 'other') AS relation FROM x LEFT JOIN rl USING (a, b)")
 def jn22(spark, sf):
-    table = lift.lanes(spark, sf)
-    ids = [r["n_nationkey"] for r in read(spark, sf, "nation").select("n_nationkey").collect()]
-    pairs = table.select(F.col("id").alias("a"), F.explode(F.array(*[F.lit(i).cast("long") for i in sorted(ids)])).alias("b")).filter("(a + b) % 2 = 0")
-    return lanes.relate(pairs, lanes.relations(table))
+    pairs = read(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") % 25).cast("long").alias("b")).distinct()
+    return lanes.relate(pairs, lanes.relations(lift.lanes(spark, sf)))
 
 
 @query("jn23_closure", f"WITH RECURSIVE {LANES}, sd AS (SELECT id, l AS b FROM ln WHERE l IS NOT NULL UNION SELECT id, r FROM ln WHERE r IS NOT NULL), c(seed, id) AS (SELECT id, id FROM ln UNION SELECT c.seed, sd.b FROM c JOIN sd ON sd.id = c.id) SELECT seed, id FROM c")
@@ -175,7 +173,9 @@ def jn23(spark, sf):
 
 def _checkpoints(spark) -> None:
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        from ..streaming.segments import shared_folder
+
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 @query("jn24_chain", f"WITH RECURSIVE {LANES}, c(id, tip, hops, added, chain) AS (SELECT id, id, 0, CAST(0 AS DOUBLE), [id] FROM ln UNION ALL SELECT c.id, ln.f, hops + 1, added + n.len, list_append(chain, ln.f) FROM c JOIN ln ON ln.id = c.tip JOIN ln n ON n.id = ln.f WHERE hops < 8 AND added < 5 AND NOT list_contains(chain, ln.f)), m AS (SELECT id, max(hops) AS h FROM c GROUP BY id) SELECT c.id, array_to_string(chain, '-') AS chain FROM c JOIN m ON m.id = c.id AND m.h = c.hops")
@@ -268,7 +268,22 @@ def lane_track(spark, sf):
     return n.select("sid", F.col("i").alias("k"), (F.col("k") >= 5).alias("valid")), found.drop("v")
 
 
-@query("wn19_viterbi")
+# one step of the decoding a round: each state keeps the path by which it is cheapest, the first of equals
+VITERBI = f"""WITH RECURSIVE {RELATIONS}, {NUMBERED[len('ev AS') - 5:]},
+co AS (SELECT sid, i AS k, CAST((k + s) % 25 AS BIGINT) AS lane, v / 50 + (CAST((k + s) % 25 AS BIGINT) % 5) / 4 AS c FROM nu CROSS JOIN (SELECT unnest([0, 5, 11]) AS s) WHERE k >= 5),
+st AS (SELECT sid, k, lane, c, row_number() OVER (PARTITION BY sid, k ORDER BY lane, c) AS s FROM co UNION ALL SELECT sid, i, NULL, CASE WHEN k >= 5 THEN 3.0 ELSE 0.0 END, 99 FROM nu),
+tr(relation, cost) AS (VALUES ('same', 0.0), ('following', 0.3), ('previous', 0.3), ('near', 0.6), ('left', 1.0), ('right', 1.0), ('other', 5.0)),
+mv AS (SELECT a.id AS a, b.id AS b, tr.cost FROM ln a CROSS JOIN ln b LEFT JOIN rl ON rl.a = a.id AND rl.b = b.id JOIN tr ON tr.relation = coalesce(rl.relation, 'other')),
+dp(sid, k, lane, s, cost, path) AS (SELECT sid, k, lane, s, CAST(c AS DOUBLE), [lane] FROM st WHERE k = 0
+  UNION ALL SELECT sid, k, lane, s, cost + c, list_append(path, lane) FROM (
+    SELECT st.sid, st.k, st.lane, st.s, st.c, dp.path, dp.cost + CASE WHEN dp.lane IS NULL AND st.lane IS NULL THEN 0.0 WHEN dp.lane IS NULL OR st.lane IS NULL THEN 2.0 ELSE mv.cost END AS cost,
+      row_number() OVER (PARTITION BY st.sid, st.s ORDER BY dp.cost + CASE WHEN dp.lane IS NULL AND st.lane IS NULL THEN 0.0 WHEN dp.lane IS NULL OR st.lane IS NULL THEN 2.0 ELSE mv.cost END, dp.s) AS r
+    FROM dp JOIN st ON st.sid = dp.sid AND st.k = dp.k + 1 LEFT JOIN mv ON mv.a = dp.lane AND mv.b = st.lane) WHERE r = 1),
+en AS (SELECT sid, path, row_number() OVER (PARTITION BY sid ORDER BY cost, s) AS r FROM dp WHERE k = (SELECT max(n.i) FROM nu n WHERE n.sid = dp.sid))
+SELECT sid, CAST(unnest(range(len(path))) AS INTEGER) AS k, unnest(path) AS lane_id FROM en WHERE r = 1"""
+
+
+@query("wn19_viterbi", VITERBI)
 def wn19(spark, sf):
     track, found = lane_track(spark, sf)
     return lanes.match_track(track, found, lanes.relations(lift.lanes(spark, sf)), ["sid"])

@@ -65,7 +65,7 @@ def fn17(spark, sf):
     return read(spark, sf, "events").select("event_id", F.coalesce(F.when(F.col("event_id") % 3 != 0, F.col("value")), F.lit(1.0)).alias("existence"), F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("object")).alias("kind"))
 
 
-@query("fn10_cache_key")
+@query("fn10_cache_key", """SELECT conv_id, turn, sha256('{"model": "default", "questions": {"lateral": ["a", "b"]}, "state": ' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || '}') AS key FROM conversations""")
 def fn10(spark, sf):
     none = F.lit(None).cast("string")
     return read(spark, sf, "conversations").select("conv_id", "turn", scalars.cache_key_column(F.lit('{"lateral": ["a", "b"]}'), F.coalesce("text", F.lit("")), none, none, none, none).alias("key"))

@@ -110,3 +110,10 @@ def read_log(spark: SparkSession, paths: Sequence[str], object_interval_s: float
         "ego": ego, "objects": seen.join(kept, ["session_id", "t_ns"], "left_semi"), "tags": tag.select(session, nanos, "kind"), "camera": image.join(front, ["path", "camera"]).select(session, nanos, "file"), "meta": body,
         "lights": light.groupBy(nanos).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("lane", "status")))).alias("lights")).select(session, "t_ns", "lights"),
     }
+
+
+def image_poses(images: DataFrame, cameras: DataFrame, poses: DataFrame, image_camera: str = "camera_token", image_pose: str = "ego_pose_token", token: str = "token") -> DataFrame:
+    """Images with the columns of their camera and of the ego's pose at capture, which get c_ and p_ [JN-03]. An image without either goes."""
+    named = lambda df, prefix: df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
+    c, p = named(cameras, "c_"), named(poses, "p_")
+    return images.join(c, F.col(image_camera) == F.col(f"c_{token}")).join(p, F.col(image_pose) == F.col(f"p_{token}"))
