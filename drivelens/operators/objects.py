@@ -81,3 +81,9 @@ def landmarks(rows: DataFrame, vx: str, vy: str, height: str, kind: str, kinds:
     """Objects that stand still, are of a plausible height and of kinds that stay in place [FLT-09]."""
     still = F.col(vx) * F.col(vx) + F.col(vy) * F.col(vy) <= most_speed * most_speed
     return rows.filter(still & (F.col(height) > 0) & (F.col(height) < most_height) & F.col(kind).isin(*kinds))
+
+
+def object_tracks(found: DataFrame, keys: Sequence[str], time: str, track: str, kind: str, position: Sequence[str], most: int = MOST) -> DataFrame:
+    """The nearest tracks of each key among believable objects, those that ever come within the radius [OR-13]."""
+    measured = believable(found).withColumn("distance", F.hypot("x", "y"))
+    return top_tracks(tracks(measured, keys, time, track, kind, position), keys, ["min_distance", track], most)
