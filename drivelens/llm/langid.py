@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import id_remainder, small_batches, spans_of_bytes, utf8_parts
+from .common import free_name, id_remainder, small_batches, spans_of_bytes, utf8_parts
 
 #: Training rows of each language and the largest training text in bytes: these bound what fitting reads.
 ROWS_PER_LANGUAGE = 240
@@ -246,13 +246,14 @@ def reject_unknown(docs: DataFrame) -> DataFrame:
     stays empty.
     """
     model = fit_language_model(docs)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    name, own = free_name(docs, "__language"), [F.col(f"`{c}`") for c in docs.columns]
     if not model.languages:
         small_batches(docs.sparkSession)
-        return docs.select(whole, _with_letters("text").alias("good")).filter("good").select("row.*")
-    found = docs.select(whole, language_udf(docs.sparkSession, model)(F.col("text")).alias("language"))
-    kept = found.filter((F.col("language.lang_pred") != "und") & (F.col("language.bits_per_byte") < RAW_BITS))
-    return kept.select(*[(F.coalesce("row.lang", "language.lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`")) for c in docs.columns])
+        return docs.select(*own, _with_letters("text").alias(name)).filter(F.col(name)).select(*own)
+    # a filter on a deterministic function's result would be pushed below it, and the function called twice
+    found = docs.select(*own, language_udf(docs.sparkSession, model).asNondeterministic()(F.col("text")).alias(name))
+    kept = found.filter((F.col(name)["lang_pred"] != "und") & (F.col(name)["bits_per_byte"] < RAW_BITS))
+    return kept.select(*[(F.coalesce("lang", F.col(name)["lang_pred"]).alias(c) if c == "lang" else F.col(f"`{c}`")) for c in docs.columns])
 
 
 def accuracy(predicted: pd.DataFrame) -> float:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import free_name, small_batches
 
 #: Kinds in the order that breaks ties of a start. The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
@@ -183,11 +183,12 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     All rows stay, in place and as often as they are there; null and empty texts stay as they are, other columns too.
     """
     small_batches(docs.sparkSession)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), masked("text").alias("clean"))
-    new = {"text": F.col("clean")}
+    name = free_name(docs, "__clean")
+    found = docs.select(*[F.col(f"`{c}`") for c in docs.columns], masked("text").alias(name))
+    new = {"text": F.col(name)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return whole.select(*[(new[c].alias(c) if c in new else F.col(f"row.`{c}`")) for c in docs.columns])
+        new["n_chars"] = F.length(name).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[(new[c].alias(c) if c in new else F.col(f"`{c}`")) for c in docs.columns])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
