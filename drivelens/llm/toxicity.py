@@ -50,7 +50,7 @@ BROADCAST_ROWS = 4_000_000
 #: Words that a counting task gathers before it passes their counts on.
 BUFFER = 1 << 21
 #: Parts that a context's bigrams are dealt out in: a frequent word is followed by very many.
-PARTS = 16
+PARTS = 4
 #: The context of a text's first word.
 START = -1
 _SLICE = 1 << 21
