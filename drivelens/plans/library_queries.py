@@ -25,7 +25,7 @@ def fn15(spark, sf):
     return read(spark, sf, "events").select("event_id", scalars.signed_text(value, 1, " m").alias("written"))
 
 
-@query("fn16_rotation", "SELECT event_id, round(1 - 2 * sin(value) * sin(value), 6) AS xx, round(-2 * cos(value) * sin(value), 6) AS xy, round(2 * cos(value) * sin(value), 6) AS yx, 1.0 AS zz FROM events")
+@query("fn16_rotation", "SELECT event_id, round(1 - 2 * sin(value) * sin(value), 6) AS xx, round(-2 * cos(value) * sin(value), 6) AS xy, round(2 * cos(value) * sin(value), 6) AS yx, CAST(1 AS DOUBLE) AS zz FROM events")
 def fn16(spark, sf):
     zero = F.lit(0.0)
     m = scalars.rotation_columns(F.cos("value"), zero, zero, F.sin("value"))
@@ -135,7 +135,7 @@ def intervals_by_time(rows):
 @query(
     "tx04_reviewed",
     f"""WITH {NUMBERED}, rv AS (SELECT sid, min(t) + {24 * HOUR} AS s, min(t) + {96 * HOUR} AS e FROM ev WHERE sid % 3 = 0 GROUP BY sid), x AS (SELECT nu.sid, event_id, k, CASE WHEN s IS NULL THEN 'none' WHEN t BETWEEN s AND e THEN 'core' WHEN t BETWEEN s - {12 * HOUR} AND e + {12 * HOUR} THEN 'margin' ELSE 'none' END AS review FROM nu LEFT JOIN rv ON rv.sid = nu.sid)
-    SELECT sid, event_id, review, CASE review WHEN 'core' THEN 7 WHEN 'none' THEN CAST(k AS BIGINT) END AS lane, CASE review WHEN 'core' THEN 'road' WHEN 'none' THEN 'lot' END AS road_context, CASE review WHEN 'core' THEN false WHEN 'none' THEN true END AS intersection, CASE WHEN review = 'none' THEN 1.5 END AS offset_m FROM x""",
+    SELECT sid, event_id, review, CASE review WHEN 'core' THEN 7 WHEN 'none' THEN CAST(k AS BIGINT) END AS lane, CASE review WHEN 'core' THEN 'road' WHEN 'none' THEN 'lot' END AS road_context, CASE review WHEN 'core' THEN false WHEN 'none' THEN true END AS intersection, CASE WHEN review = 'none' THEN CAST(1.5 AS DOUBLE) END AS offset_m FROM x""",
 )
 def tx04(spark, sf):
     rows = numbered(spark, sf).select(F.col("sid").alias("session_id"), "event_id", F.col("t").alias("t_ns"), F.col("k").cast("long").alias("lane"), F.lit("lot").alias("road_context"), F.lit(True).alias("intersection"), F.lit(1.5).alias("offset_m"))
