@@ -35,7 +35,7 @@ def reviewed(observations: DataFrame, reviews: DataFrame, time: str = "t_ns") ->
     reviews: session_id, start, end, margin, chain_id. In the core the lane is the review's, on the road and not in an
     intersection; in the margin nothing is known about lanes. Motion stays. Rows without a review are unchanged.
     """
-    joined = observations.join(F.broadcast(reviews.withColumnsRenamed({"start": "__s", "end": "__e", "margin": "__m", "chain_id": "__c"})), "session_id", "left")
+    joined = observations.join(reviews.withColumnsRenamed({"start": "__s", "end": "__e", "margin": "__m", "chain_id": "__c"}), "session_id", "left")
     own = F.when(F.col("__s").isNotNull(), state(F.col(time), F.col("__s"), F.col("__e"), F.col("__m"))).otherwise("none")
     out = joined.withColumn("review", own)
     core = {"lane": F.col("__c"), "road_context": F.lit("road"), "intersection": F.lit(False)}
