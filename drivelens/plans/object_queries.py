@@ -210,7 +210,7 @@ def ge01(spark, sf):
     return polylines(spark, sf).mapInPandas(run, "id long, offset_m double, heading double")
 
 
-BOXES = """bx AS (SELECT l_orderkey AS frame, l_linenumber AS line, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS pos, l_quantity AS x, l_discount * 100 AS y, 1 + l_tax * 50 AS w FROM lineitem WHERE l_orderkey % 10 = 3)""".replace(" WHERE l_orderkey % 10 = 3", "")
+BOXES = """bx AS (SELECT l_orderkey AS frame, l_linenumber AS line, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS pos, l_quantity AS x, l_discount * 100 AS y, 1 + l_tax * 50 AS w FROM lineitem)"""
 
 
 def boxes(spark, sf):
@@ -253,7 +253,7 @@ def ge07(spark, sf):
     return boxes(spark, sf).mapInPandas(run, "frame long, line int, pos long, clearance double")
 
 
-@query("jn10_within", f"WITH {SEGMENT}, po AS (SELECT vec_id AS pose, embedding[63]::DOUBLE * 10 + 15 AS px, embedding[64]::DOUBLE * 10 AS py FROM embeddings WHERE vec_id < 50), sx AS (SELECT DISTINCT id, k, ax, ay, dx, dy FROM sg), q AS (SELECT pose, id, least(greatest(((px - ax) * dx + (py - ay) * dy) / greatest(dx * dx + dy * dy, 1e-12), 0), 1) AS u, px, py, ax, ay, dx, dy FROM po CROSS JOIN sx), z AS (SELECT pose, id, min(sqrt(pow(px - ax - u * dx, 2) + pow(py - ay - u * dy, 2))) AS d FROM q GROUP BY 1, 2) SELECT pose AS pose_id, id AS lane_id, round(d, 6) AS distance FROM z WHERE d <= 1".replace(" WHERE vec_id < 50", ""))
+@query("jn10_within", f"WITH {SEGMENT}, po AS (SELECT vec_id AS pose, embedding[63]::DOUBLE * 10 + 15 AS px, embedding[64]::DOUBLE * 10 AS py FROM embeddings), sx AS (SELECT DISTINCT id, k, ax, ay, dx, dy FROM sg), q AS (SELECT pose, id, least(greatest(((px - ax) * dx + (py - ay) * dy) / greatest(dx * dx + dy * dy, 1e-12), 0), 1) AS u, px, py, ax, ay, dx, dy FROM po CROSS JOIN sx), z AS (SELECT pose, id, min(sqrt(pow(px - ax - u * dx, 2) + pow(py - ay - u * dy, 2))) AS d FROM q GROUP BY 1, 2) SELECT pose AS pose_id, id AS lane_id, round(d, 6) AS distance FROM z WHERE d <= 1")
 def jn10(spark, sf):
     rows = polylines(spark, sf)
     poses = rows.select(F.col("id").alias("pose_id"), "x", "y", F.lit(0.0).alias("yaw"))
