@@ -87,3 +87,30 @@ def object_tracks(found: DataFrame, keys: Sequence[str], time: str, track: str,
     """The nearest tracks of each key among believable objects, those that ever come within the radius [OR-13]."""
     measured = believable(found).withColumn("distance", F.hypot("x", "y"))
     return top_tracks(tracks(measured, keys, time, track, kind, position), keys, ["min_distance", track], most)
+
+
+def anchors(observations: DataFrame, keys: Sequence[str], time: str = "time_s", clearance: str = "clearance", share: str = "share", least: float = 0.01, near: float = 0.3) -> DataFrame:
+    """The observations of a moving object that its history shows, with `reasons` in fixed order [WN-27].
+
+    Per key: the first and last, the nearest to time 0 if within `near`, the closest, that of the largest share, and the
+    first and last whose share is above `least` with their neighbours outside. The earliest of equals counts; times
+    within a key are distinct.
+    """
+    w = Window.partitionBy(*keys).orderBy(time)
+    whole = Window.partitionBy(*keys)
+    inside = F.col(share) > least
+    rows = observations.withColumn("__k", F.row_number().over(w))
+    k = F.col("__k")
+    at = {
+        "__n": F.count(F.lit(1)), "__now": F.min(F.struct(F.abs(time).alias("d"), k)), "__close": F.min(F.struct(F.col(clearance).alias("d"), k)),
+        "__most": F.min(F.struct((-F.col(share)).alias("d"), k)), "__in": F.min(F.when(inside, k)), "__out": F.max(F.when(inside, k)),
+    }
+    rows = rows.withColumns({name: value.over(whole) for name, value in at.items()})
+    here = lambda name: k == F.col(f"{name}.__k")
+    #: The reasons, in the order in which a history names them.
+    reasons = (
+        (k == 1, "first observation"), (k == F.col("__n"), "last observation"), (here("__now") & (F.col("__now.d") <= near), "NOW"), (here("__close"), "closest body passage"), (here("__most"), "maximum overlap"),
+        (k == F.col("__in"), "first observed overlap"), (k == F.col("__out"), "last observed overlap"), (k == F.col("__in") - 1, "last clear before overlap"), (k == F.col("__out") + 1, "first observed clear"),
+    )
+    named = F.filter(F.array(*[F.when(test, name) for test, name in reasons]), lambda r: r.isNotNull())
+    return rows.withColumn("reasons", named).filter(F.size("reasons") > 0).drop("__k", *at)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import body, describe, geometry, lanes, view
+from ..operators import body, camera, describe, geometry, lanes, objects, view
 from ..sources import logs
 from . import lift
 from .lift import EVENTS, HOUR, NUMBERED, SESSION, candidate, events, micros, numbered, read, spans_sql
@@ -222,3 +222,56 @@ def ge17(spark, sf):
     sections = one.select("sid", F.col("t").alias("time"), point(F.col("e.v"), F.col("e.k")).alias("left"), point(F.col("e.v") + 1, F.col("e.k") - 1).alias("right"), (F.col("e.k") % 5 != 0).alias("connect"))
     pieces = view.ribbon(sections, candidate(spark, sf), SESSION, 48 * HOUR)
     return pieces.select("sid", "time", F.col("start").alias("start_us"), F.col("end").alias("end_us"), F.round("from_left.x", 6).alias("from_x"), F.round("to_right.y", 6).alias("to_y"), "label")
+
+
+@query(
+    "wn27_anchors",
+    f"""WITH {NUMBERED}, o AS (SELECT sid, i - 10 AS time_s, v AS c, (k % 10) / 10.0::DOUBLE AS s, i FROM nu), a AS (SELECT *, count(*) OVER w AS n, first_value(i) OVER (PARTITION BY sid ORDER BY abs(time_s), i) AS inow, first_value(i) OVER (PARTITION BY sid ORDER BY c, i) AS iclose, first_value(i) OVER (PARTITION BY sid ORDER BY s DESC, i) AS imost,
+      min(CASE WHEN s > 0.01 THEN i END) OVER w AS i0, max(CASE WHEN s > 0.01 THEN i END) OVER w AS i1 FROM o WINDOW w AS (PARTITION BY sid)),
+    r AS (SELECT sid, time_s, concat_ws(', ', CASE WHEN i = 0 THEN 'first observation' END, CASE WHEN i = n - 1 THEN 'last observation' END, CASE WHEN i = inow AND abs(time_s) <= 0.3 THEN 'NOW' END, CASE WHEN i = iclose THEN 'closest body passage' END, CASE WHEN i = imost THEN 'maximum overlap' END,
+      CASE WHEN i = i0 THEN 'first observed overlap' END, CASE WHEN i = i1 THEN 'last observed overlap' END, CASE WHEN i = i0 - 1 THEN 'last clear before overlap' END, CASE WHEN i = i1 + 1 THEN 'first observed clear' END) AS reasons FROM a) SELECT * FROM r WHERE reasons <> ''""",
+)
+def wn27(spark, sf):
+    """A session's events as observations of one object."""
+    rows = numbered(spark, sf).select("sid", (F.col("i") - 10).alias("time_s"), F.col("v").alias("clearance"), ((F.col("k") % 10) / 10.0).alias("share"))
+    return objects.anchors(rows, SESSION).select("sid", "time_s", F.array_join("reasons", ", ").alias("reasons"))
+
+
+TENTH = 100_000_000
+
+
+def _path(spark, sf):
+    """A session's events as poses a tenth of a second apart, all of them images too."""
+    n = numbered(spark, sf)
+    turn, zero = F.col("k") / 2000, F.lit(0.0)
+    values = {"x": F.col("i") * 0.8, "y": F.col("k") * 0.01, "z": zero, "qw": F.cos(turn), "qx": zero, "qy": zero, "qz": F.sin(turn)}
+    return n.select(F.col("sid").alias("session_id"), (F.col("i").cast("long") * TENTH).alias("t_ns"), *[v.alias(c) for c, v in values.items()])
+
+
+PATH = NUMBERED + f", po AS (SELECT sid AS session_id, CAST(i AS BIGINT) * {TENTH} AS t_ns, i * 0.8::DOUBLE AS x, k * 0.01::DOUBLE AS y, k / 1000.0::DOUBLE AS h FROM nu), en AS (SELECT session_id, max(t_ns) - {3 * TENTH} AS e FROM po GROUP BY 1)"
+PAIRS = f"pa AS (SELECT a.session_id, a.t_ns, b.t_ns AS u, b.x - a.x AS dx, b.y - a.y AS dy, a.h, b.h AS g FROM po a JOIN en ON en.session_id = a.session_id JOIN po b ON b.session_id = a.session_id AND b.t_ns >= a.t_ns AND b.t_ns <= least(e, a.t_ns + {100 * TENTH}))"
+
+
+def _images(spark, sf):
+    poses = _path(spark, sf)
+    ends = poses.groupBy("session_id").agg((F.max("t_ns") - 3 * TENTH).alias("end_ns"))
+    return camera.future_poses(poses.withColumn("camera", F.lit("front")), poses, ends)
+
+
+@query("or21_future_poses", f"WITH {PATH}, {PAIRS} SELECT po.session_id, po.t_ns, count(u) AS n, max(u) AS last_ns FROM po LEFT JOIN pa ON pa.session_id = po.session_id AND pa.t_ns = po.t_ns GROUP BY 1, 2")
+def or21(spark, sf):
+    return _images(spark, sf).select("session_id", "t_ns", F.size("future").cast("long").alias("n"), F.try_element_at("future", F.lit(-1))["t_ns"].alias("last_ns"))
+
+
+CAMERA = {"translation": [1.5, 0.0, 1.6], "rotation": [0.5, -0.5, 0.5, -0.5], "intrinsic": [[500.0, 0.0, 320.0], [0.0, 500.0, 240.0], [0.0, 0.0, 1.0]]}
+
+
+@query(
+    "ge11_camera_path",
+    f"""WITH {PATH}, {PAIRS}, s AS (SELECT *, -sin(g) AS nx, cos(g) AS ny FROM pa), e AS (SELECT session_id, t_ns, (u - t_ns) / 1e9::DOUBLE AS time_s, cos(h) * (dx + nx) + sin(h) * (dy + ny) - 1.5 AS la, cos(h) * (dy + ny) - sin(h) * (dx + nx) AS ll, cos(h) * (dx - nx) + sin(h) * (dy - ny) - 1.5 AS ra, cos(h) * (dy - ny) - sin(h) * (dx - nx) AS rl FROM s)
+    SELECT session_id, t_ns, round(time_s, 3) AS time_s, round(320 - 500 * ll / la, 3) AS left_x, round(240 + 800 / la, 3) AS left_y, round(320 - 500 * rl / ra, 3) AS right_x FROM e WHERE la >= 1 AND ra >= 1""",
+)
+def ge11(spark, sf):
+    """A path 2 m wide seen by a camera 1.6 m above the poses, without distortion."""
+    found = camera.camera_paths(_images(spark, sf), {"front": CAMERA}, 2.0)
+    return found.select("session_id", "t_ns", F.explode("sections").alias("s")).select("session_id", "t_ns", "s.time_s", "s.left_x", "s.left_y", "s.right_x")

@@ -14,6 +14,7 @@ from ..operators.intervals import number_runs
 
 #: Metres of lead and of measuring a turn, degrees of a turn and of a u-turn, seconds of its tail and around a lane change.
 LEAD_M, MEASURE_M, TURN_DEG, U_TURN_DEG, TAIL_S, CHANGE_S = 30.0, 20.0, 40.0, 135.0, 2.0, 2.5
+CELL_S = 16
 
 
 def lateral_spans(track: DataFrame, lane_table: DataFrame, edges: DataFrame, keys: Sequence[str] = ("session_id",), cadence: float = 0.1) -> DataFrame:
@@ -50,7 +51,10 @@ def rule_steps(timeline: DataFrame, spans: DataFrame, times: DataFrame, step: in
     start = timeline.filter("i = 0").select("session_id", F.col("t_ns").alias("t0"))
     placed = times.join(start, "session_id").withColumn("i", grid_index(F.col("t_ns"), F.col("t0"), step).cast("int")).withColumn("at", (F.col("t_ns") - F.col("t0")) / schemas.NS)
     rows = placed.join(speeds.filter("valid").select("session_id", "i", "longitudinal"), ["session_id", "i"])
-    held = rows.join(spans, "session_id").filter((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end"))).groupBy("session_id", "t_ns").agg(F.min(F.struct("priority", "label"))["label"].alias("lateral"))
+    # each time lies in one cell, each span in the few that it covers
+    cell = lambda at: F.floor(F.col(at) / CELL_S).cast("long")
+    near = spans.withColumn("cell", F.explode(F.sequence(cell("start"), F.greatest(cell("start"), cell("end")))))
+    held = rows.withColumn("cell", cell("at")).join(near, ["session_id", "cell"]).filter((F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end"))).groupBy("session_id", "t_ns").agg(F.min(F.struct("priority", "label"))["label"].alias("lateral"))
     out = rows.join(held, ["session_id", "t_ns"], "left").withColumn("lateral", F.coalesce("lateral", F.lit(schemas.KEEP)))
     return out.select("session_id", "t_ns", "lateral", F.create_map("lateral", F.lit(1.0)).alias("lateral_probs"), "longitudinal", F.create_map("longitudinal", F.lit(1.0)).alias("longitudinal_probs"))
 

@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from drivelens.operators import body, describe, geometry, view
+from drivelens.operators import body, camera, describe, geometry, objects, view
 from drivelens.sources import logs
 
 S = 1_000_000_000
@@ -139,3 +139,66 @@ def test_screen_and_scale(spark):
     assert [round(v, 9) for v in row] == [100.0, 45.0, 1.3, 2.0]
 
 
+
+
+def test_camera_path_follows_single_points(spark):
+    """Sections against a projection of one point at a time, with distortion, thinning, a gap and a drift that is unknown."""
+    rng = np.random.default_rng(3)
+    lens = {"translation": [1.6, 0.1, 1.5], "rotation": [0.5, -0.5, 0.5, -0.5], "intrinsic": [[900.0, 0.0, 500.0], [0.0, 900.0, 280.0], [0.0, 0.0, 1.0]], "distortion": [-0.35, 0.1, 0.001, -0.002, -0.02]}
+    dt = np.concatenate([np.sort(rng.uniform(0, 7, 160)), np.arange(7.05, 10.4, 0.05)])
+    yaw = 0.02 * dt
+    poses = np.stack([8 * dt, 0.3 * dt**1.5, 0.02 * dt, np.cos(yaw / 2), 0 * dt, 0 * dt, np.sin(yaw / 2)], 1)
+    drift = np.where(rng.random(len(dt)) < 0.1, np.nan, 0.05)
+    k1, k2, p1, p2, k3 = lens["distortion"]
+    limit = min(r.real for r in np.roots([7 * k3, 5 * k2, 3 * k1, 1]) if abs(r.imag) < 1e-9 and r.real > 0)
+
+    def pixel(point):
+        ahead, left, up = point[0] - 1.6, point[1] - 0.1, point[2] - 1.5
+        if ahead < 1:
+            return None
+        x, y = -left / ahead, -up / ahead
+        r2 = x * x + y * y
+        if r2 >= limit:
+            return None
+        radial = 1 + k1 * r2 + k2 * r2**2 + k3 * r2**3
+        return 900 * (x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)) + 500, 900 * (y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y) + 280
+
+    want, world, last, open_ = [], 0, -1.0, False
+    for t, p, h, d in zip(dt, poses, yaw, drift, strict=True):
+        if t > 10 + 1e-6:
+            break
+        if t - last < 0.09 and t < 9.99:
+            continue
+        last, world = t, world + 1
+        side = np.array([-math.sin(h), math.cos(h), 0.0])
+        ends = [None, None] if math.isnan(d) else [pixel(p[:3] + s * side - (0, 0, 0.3 + d)) for s in (1, -1)]
+        if None in ends:
+            open_ = False
+            continue
+        want.append((round(t, 3), *ends[0], *ends[1], open_))
+        open_ = True
+    got = camera.path(dt, poses, np.zeros(3), np.eye(3), lens, 2.0, 0.5, 0.3, drift)
+    assert len(got["world"]) == world and len(got["sections"]) == len(want) > 40
+    assert all(np.allclose(g[:5], w[:5], atol=2e-3) and g[5] == w[5] for g, w in zip(got["sections"], want, strict=True))
+    assert got["horizon_s"] == 10.0 and [m[0] for m in got["markers"]] == sorted({m[0] for m in got["markers"]})
+    cut = camera.path(np.array([0.0, 0.2, 1.5]), poses[:3], np.zeros(3), np.eye(3), lens, 2.0, 0.5, 0.0)
+    assert cut["horizon_s"] == 0.2 and len(cut["world"]) == 2
+    nothing = camera.path(np.zeros(0), np.zeros((0, 7)), np.zeros(3), np.eye(3), lens, 2.0, 0.5, 0.0)
+    assert nothing == {"sections": [], "world": [], "markers": [], "horizon_s": 0.0}
+
+
+def test_future_poses_end_with_the_session(spark):
+    poses = spark.createDataFrame([("s", int(i * S / 2), float(i), 0.0, 0.0, 1.0, 0.0, 0.0, 0.0) for i in range(60)], "session_id string, t_ns long, x double, y double, z double, qw double, qx double, qy double, qz double")
+    images = spark.createDataFrame([("s", S, "a"), ("s", S, "b"), ("s", 24 * S, "c"), ("s", 28 * S, "d")], "session_id string, t_ns long, name string")
+    ends = spark.createDataFrame([("s", 27 * S)], "session_id string, end_ns long")
+    got = {r["name"]: [p["x"] for p in r["future"]] for r in camera.future_poses(images, poses, ends).collect()}
+    assert got["a"] == got["b"] == [float(x) for x in range(2, 23)] and got["c"] == [float(x) for x in range(48, 55)] and got["d"] == []
+
+
+def test_anchors_of_one_observation(spark):
+    rows = spark.createDataFrame([("a", 5.0, 1.0, 0.0), ("b", -1.0, 3.0, 0.0), ("b", 0.1, 2.0, 0.5), ("b", 1.0, 1.0, 0.0), ("b", 2.0, 1.0, 0.0), ("b", 3.0, 4.0, 0.0)], "track string, time_s double, clearance double, share double")
+    got = {(r["track"], r["time_s"]): r["reasons"] for r in objects.anchors(rows, ["track"]).collect()}
+    assert got == {
+        ("a", 5.0): ["first observation", "last observation", "closest body passage", "maximum overlap"], ("b", -1.0): ["first observation", "last clear before overlap"],
+        ("b", 0.1): ["NOW", "maximum overlap", "first observed overlap", "last observed overlap"], ("b", 1.0): ["closest body passage", "first observed clear"], ("b", 3.0): ["last observation"],
+    }
