@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANSWER = "lateral string, lateral_probs map<string,double>, longitudinal string, longitudinal_probs map<string,double>, model string, input_tokens long, provider string"
+ANSWERED = [field.split()[0] for field in ANSWER.split(", ")]
 #: The states that are worth another try, how often, and the bounds of the waits in seconds.
 RETRIED, TRIES, FIRST_WAIT, LONGEST_WAIT = frozenset({429, 500, 502, 503, 504, 529}), 6, 1.0, 30.0
 PRICE_PER_MILLION, OVERHEAD_TOKENS, CHARS_PER_TOKEN = 0.042, 1400, 4
@@ -67,7 +68,7 @@ def parse_response(response: dict, provider: str) -> dict:
 
 def latest(cache: DataFrame) -> DataFrame:
     """key, answer: the last row of each key by seq [SRC-17]."""
-    return cache.groupBy("key").agg(F.max(F.struct("seq", "answer"))["answer"].alias("answer"))
+    return cache.groupBy("key").agg(F.max_by("answer", "seq").alias("answer"))
 
 
 def with_cache(prompts: DataFrame, cache: DataFrame) -> DataFrame:
@@ -75,11 +76,10 @@ def with_cache(prompts: DataFrame, cache: DataFrame) -> DataFrame:
     return prompts.join(latest(cache), "key", "left")
 
 
-def classify(prompts: DataFrame, cache: DataFrame, backend: Callable[[], object] = RuleBackend, workers: int = 8, partitions: int | None = None) -> DataFrame:
-    """key and answer of the prompts (key, script) that the cache misses [IN-01]. Each key is asked once.
+def attempted(prompts: DataFrame, cache: DataFrame, backend: Callable[[], object] = RuleBackend, workers: int = 8, partitions: int | None = None, strict: bool = False) -> DataFrame:
+    """key, answer and error of the prompts (key, script) that the cache misses [IN-01, OR-04]. Each key is asked once.
 
-    Append the result to the cache table: an answer that was saved is never asked for again, so a run that fails
-    goes on where it stopped.
+    A state that stays bad after all tries gives a null answer and its text as error; with strict it ends the job.
     """
     asked = prompts.join(cache, "key", "left_anti").dropDuplicates(["key"]).select("key", "script")
     if partitions:
@@ -87,15 +87,34 @@ def classify(prompts: DataFrame, cache: DataFrame, backend: Callable[[], object]
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         service = backend()
+
+        def ask(script: str) -> tuple[dict | None, str | None]:
+            try:
+                return patient(lambda: service.predict(script)), None
+            except BackendError as e:
+                if strict:
+                    raise
+                return None, str(e)
+
         with ThreadPoolExecutor(workers) as pool:
             for rows in batches:
-                found = list(pool.map(lambda s: patient(lambda: service.predict(s)), rows["script"]))
-                out = pd.DataFrame(found)
-                out.insert(0, "key", rows["key"].to_numpy())
+                found = list(pool.map(ask, rows["script"]))
+                out = pd.DataFrame({c: pd.Series([(a or {}).get(c) for a, _ in found], index=rows.index, dtype=object) for c in ANSWERED})
+                out.insert(0, "key", rows["key"])
+                out["error"] = [e for _, e in found]
                 yield out
 
-    flat = asked.mapInPandas(answer, f"key string, {ANSWER}")
-    return flat.select("key", F.struct(*[c for c in flat.columns if c != "key"]).alias("answer"))
+    flat = asked.mapInPandas(answer, f"key string, {ANSWER}, error string")
+    return flat.select("key", F.when(F.col("error").isNull(), F.struct(*ANSWERED)).alias("answer"), "error")
+
+
+def classify(prompts: DataFrame, cache: DataFrame, backend: Callable[[], object] = RuleBackend, workers: int = 8, partitions: int | None = None) -> DataFrame:
+    """key and answer of the prompts (key, script) that the cache misses; a backend that stays unable ends the job [IN-01].
+
+    Append the result to the cache table: an answer that was saved is never asked for again, so a run that fails
+    goes on where it stopped.
+    """
+    return attempted(prompts, cache, backend, workers, partitions, strict=True).drop("error")
 
 
 def rerun(samples: DataFrame, fresh: DataFrame, keys: tuple = ("session_id", "t_ns")) -> DataFrame:

@@ -117,13 +117,9 @@ def wn18_scenes(spark, sf):
     "wn18_tail",
     f"""WITH {EVENTS}, {spans_sql("gt", "ev")}, nx AS (SELECT *, lead(label) OVER w AS nl, lead(b) OVER w AS nb, lag(label) OVER w AS pl FROM gt WINDOW w AS (PARTITION BY sid ORDER BY i)),
     ex AS (SELECT *, CASE WHEN label NOT IN ('view', 'unknown') AND nl = 'view' THEN least(b + {2 * HOUR}, nb) ELSE b END AS e FROM nx),
-    st AS (SELECT *, CASE WHEN label = 'view' THEN coalesce(lag(e) OVER (PARTITION BY sid ORDER BY i), a) ELSE a END AS s FROM ex)
-    SELECT sid, s AS start_us, e AS end_us, label FROM st WHERE s < e
-      AND NOT (label <> 'view' AND lag(label, 2) OVER (PARTITION BY sid ORDER BY i) = label AND lag(e) OVER (PARTITION BY sid ORDER BY i) = lag(e, 2) OVER (PARTITION BY sid ORDER BY i))""".replace(
-        # a follower that is used up lets its neighbours meet: those of one label become one scene
-        "SELECT sid, s AS start_us, e AS end_us, label FROM st WHERE s < e\n      AND NOT (label <> 'view' AND lag(label, 2) OVER (PARTITION BY sid ORDER BY i) = label AND lag(e) OVER (PARTITION BY sid ORDER BY i) = lag(e, 2) OVER (PARTITION BY sid ORDER BY i))",
-        ", li AS (SELECT * FROM st WHERE s < e), me AS (SELECT *, CASE WHEN lag(label) OVER w = label AND lag(e) OVER w = s THEN 0 ELSE 1 END AS new FROM li WINDOW w AS (PARTITION BY sid ORDER BY i)), il AS (SELECT *, sum(new) OVER (PARTITION BY sid ORDER BY i) AS g FROM me)\n    SELECT sid, min(s) AS start_us, max(e) AS end_us, label FROM il GROUP BY sid, g, label",
-    ),
+    -- a follower that is used up lets its neighbours meet: those of one label become one scene
+    st AS (SELECT *, CASE WHEN label = 'view' THEN coalesce(lag(e) OVER (PARTITION BY sid ORDER BY i), a) ELSE a END AS s FROM ex), li AS (SELECT * FROM st WHERE s < e), me AS (SELECT *, CASE WHEN lag(label) OVER w = label AND lag(e) OVER w = s THEN 0 ELSE 1 END AS new FROM li WINDOW w AS (PARTITION BY sid ORDER BY i)), il AS (SELECT *, sum(new) OVER (PARTITION BY sid ORDER BY i) AS g FROM me)
+    SELECT sid, min(s) AS start_us, max(e) AS end_us, label FROM il GROUP BY sid, g, label""",
 )
 def wn18(spark, sf):
     spans = truth(spark, sf).select(F.col("sid").cast("string").alias("session_id"), F.col("start").alias("start_ns"), F.col("end").alias("end_ns"), F.when(F.col("label") == "view", "keep_lane").otherwise(F.col("label")).alias("lateral"))

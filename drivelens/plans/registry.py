@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import edit_queries, evidence_queries, interval_queries, library_queries, more_queries, object_queries, scalar_queries, series_queries  # noqa: F401
+    from . import drive_queries, edit_queries, evidence_queries, interval_queries, library_queries, more_queries, object_queries, scalar_queries, series_queries  # noqa: F401
