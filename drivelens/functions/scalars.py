@@ -67,6 +67,24 @@ def rotation_columns(w: Column, x: Column, y: Column, z: Column) -> Column:
     return F.array(*[c for row in rotation_matrix(w, x, y, z) for c in row])
 
 
+def fixed_text(value: Column, digits: int) -> Column:
+    """A number of 0 or more with a fixed count of digits, rounded by its exact binary value, as C's printf does.
+
+    Spark's own rounding and formats start from the shortest decimal that names a number, which may be a tie where the
+    number itself is none. Products of the two halves of the fraction are exact, so their sum has the right sign.
+    """
+    scale = 10**digits
+    whole = F.floor(value)
+    part = value - whole
+    upper = F.floor(part * 2.0**26) / 2.0**26
+    lower = part - upper
+    down = F.floor(upper * scale + lower * scale)
+    above = (upper * scale - down - 0.5) + lower * scale
+    units = whole * scale + down
+    units = units + F.when((above > 0) | ((above == 0) & (units % 2 != 0)), 1).otherwise(0)
+    return F.concat(F.floor(units / scale).cast("string"), F.lit("."), F.lpad((units % scale).cast("string"), digits, "0"))
+
+
 def signed_text(value: Column, digits: int = 1, unit: str = "") -> Column:
     """A fixed-point number with its sign, never -0, or unknown [FN-15]."""
     known = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))

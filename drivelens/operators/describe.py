@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import fixed_text
+
 #: Codes of the indicator that a text names, and the code before its first message.
 INDICATOR_TEXT = {2: "LEFT", 3: "RIGHT"}
 INDICATOR_OFF = 1
@@ -70,7 +72,7 @@ def time_text(nanos: Column) -> Column:
     tenths = nanos / 1e8
     near = F.greatest(F.lit(1e-9) * F.greatest(F.abs(tenths), F.abs(F.rint(tenths))), F.lit(1e-8))
     size = F.abs(nanos / 1e9)
-    text = F.when(F.abs(tenths - F.rint(tenths)) <= near, F.format_string("%.1f", F.bround(size, 1))).otherwise(F.format_string("%.2f", F.bround(size, 2)))
+    text = F.when(F.abs(tenths - F.rint(tenths)) <= near, fixed_text(size, 1)).otherwise(fixed_text(size, 2))
     return F.concat(F.when(nanos < 0, "t=-").otherwise("t=+"), text, F.lit("s"))
 
 

@@ -170,7 +170,7 @@ def fn14_descriptions(spark, sf):
     return describe.lane_descriptions(named, table, ["s"])
 
 
-SAID = """CASE WHEN {0} < 0 THEN 't=-' ELSE 't=+' END || CASE WHEN abs({0} / 1e5 - round_even({0} / 1e5, 0)) <= greatest(1e-9 * greatest(abs({0} / 1e5), abs(round_even({0} / 1e5, 0))), 1e-8) THEN printf('%.1f', round_even(abs({0} / 1e6), 1)) ELSE printf('%.2f', round_even(abs({0} / 1e6), 2)) END || 's'"""
+SAID = """CASE WHEN {0} < 0 THEN 't=-' ELSE 't=+' END || CASE WHEN abs({0} / 1e5 - round_even({0} / 1e5, 0)) <= greatest(1e-9 * greatest(abs({0} / 1e5), abs(round_even({0} / 1e5, 0))), 1e-8) THEN printf('%.1f', abs({0} / 1e6)) ELSE printf('%.2f', abs({0} / 1e6)) END || 's'"""
 
 
 @query(
@@ -275,3 +275,79 @@ def ge11(spark, sf):
     """A path 2 m wide seen by a camera 1.6 m above the poses, without distortion."""
     found = camera.camera_paths(_images(spark, sf), {"front": CAMERA}, 2.0)
     return found.select("session_id", "t_ns", F.explode("sections").alias("s")).select("session_id", "t_ns", "s.time_s", "s.left_x", "s.left_y", "s.right_x")
+
+
+ROADS = 6
+
+
+@query(
+    "flt07_heading_gate",
+    f"""WITH {EVENTS}, p AS (SELECT event_id, CASE label WHEN 'view' THEN 'pedestrian' WHEN 'error' THEN NULL ELSE 'car' END AS kind, k * 0.2::DOUBLE AS y, radians((event_id % 14) * 25.0::DOUBLE + 1) AS yaw FROM ev), w AS (SELECT *, yaw + pi() - floor((yaw + pi()) / (2 * pi())) * 2 * pi() - pi() AS h FROM p)
+    SELECT event_id, CAST(l AS BIGINT) AS lane_id FROM w CROSS JOIN (SELECT unnest(range({ROADS})) AS l) WHERE abs(y - l * 3.5) <= 1.01 AND (kind IS DISTINCT FROM 'car' OR abs(h) <= radians(60))""",
+)
+def flt07(spark, sf):
+    """Events as objects between straight lanes."""
+    kind = F.when(F.col("label") == "view", "pedestrian").when(F.col("label") != "error", "car")
+    poses = events(spark, sf).select(F.col("event_id").alias("pose_id"), kind.alias("kind"), F.lit(0.0).alias("x"), (F.col("k") * 0.2).alias("y"), F.radians((F.col("event_id") % 14) * 25.0 + 1).alias("yaw"))
+    point = lambda x, y: F.struct(F.lit(x).alias("x"), y.alias("y"))
+    table = spark.range(ROADS).select("id", F.array(point(-30.0, F.col("id") * 3.5), point(50.0, F.col("id") * 3.5)).alias("centerline"), F.lit(None).cast("array<struct<x:double,y:double>>").alias("polygon"))
+    return lanes.lanes_of_objects(poses, table, 1.01).select(F.col("pose_id").alias("event_id"), "lane_id")
+
+
+@query("src03_topics", "WITH a AS (SELECT DISTINCT event_type AS topic FROM events), p(role, rank, topic) AS (VALUES ('ego', 0, 'missing'), ('ego', 1, 'view'), ('ego', 2, 'click'), ('indicator', 0, 'click'), ('objects', 0, 'none'), ('lights', 1, 'error'), ('lights', 2, 'view')) SELECT role, arg_min(topic, rank) AS topic FROM p JOIN a USING (topic) GROUP BY role")
+def src03(spark, sf):
+    from ..sources.documents import chosen_topics
+
+    wanted = spark.sql("SELECT * FROM VALUES ('ego', 0, 'missing'), ('ego', 1, 'view'), ('ego', 2, 'click'), ('indicator', 0, 'click'), ('objects', 0, 'none'), ('lights', 1, 'error'), ('lights', 2, 'view') AS t(role, rank, topic)")
+    return chosen_topics(read(spark, sf, "events").select(F.col("event_type").alias("topic")), wanted)
+
+
+@query("ge03_joined_line", "WITH p AS (SELECT vec_id, embedding[1]::DOUBLE * 20 AS g FROM embeddings) SELECT vec_id, CASE WHEN abs(g) > 5 THEN 2 ELSE 3 END AS points, round(CASE WHEN abs(g) > 5 THEN 10 ELSE 10 + g / 2 END, 6) AS second_x FROM p")
+def ge03(spark, sf):
+    """Two straight lanes in line, apart or overlapping by a component."""
+    import numpy as np
+    import pandas as pd
+
+    gap = F.col("embedding")[0].cast("double") * 20
+    rows = read(spark, sf, "embeddings").select("vec_id", gap.alias("g"))
+
+    def run(batches):
+        for part in batches:
+            found = [geometry.joined_line([np.array([(0.0, 0.0), (10.0, 0.0)]), np.array([(10.0 + g, 0.0), (40.0, 0.0)])]) for g in part["g"]]
+            yield pd.DataFrame({"vec_id": part["vec_id"], "points": [len(f) for f in found], "second_x": [round(float(f[1, 0]), 6) for f in found]})
+
+    return rows.mapInPandas(run, "vec_id long, points int, second_x double")
+
+
+@query(
+    "wn23_rule_steps",
+    f"""WITH {NUMBERED}, lo AS (SELECT *, coalesce(lead(v, 100) OVER w, last_value(v) OVER f) - coalesce(lag(v, 100) OVER w, first_value(v) OVER f) AS g FROM nu WINDOW w AS (PARTITION BY sid ORDER BY i), f AS (PARTITION BY sid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    st AS (SELECT sid, i, CASE WHEN v < 0.3 THEN 'stopped' WHEN k < 10 THEN 'hard_braking' WHEN g > 1 THEN 'accelerating' WHEN g < -1 THEN 'decelerating' ELSE 'cruising' END AS longitudinal FROM lo WHERE k >= 3),
+    sp AS (SELECT sid, i * 0.02::DOUBLE - 0.05 AS a, i * 0.02::DOUBLE + 0.09 AS b, label, k % 2 AS kind, i AS p FROM nu WHERE label IN ('click', 'purchase')),
+    hi AS (SELECT st.sid, st.i, arg_min(label, struct_pack(x := kind, y := p)) AS held FROM st JOIN sp ON sp.sid = st.sid AND a <= st.i * 0.02::DOUBLE AND b >= st.i * 0.02::DOUBLE GROUP BY 1, 2)
+    SELECT st.sid AS session_id, CAST(st.i AS BIGINT) * 20000000 AS t_ns, coalesce(held, 'keep_lane') AS "lateral", longitudinal FROM st LEFT JOIN hi ON hi.sid = st.sid AND hi.i = st.i""",
+)
+def wn23(spark, sf):
+    """Events as samples 20 ms apart; clicks and purchases as spans of the rules."""
+    from . import rules
+
+    n = numbered(spark, sf)
+    timeline = n.select(F.col("sid").alias("session_id"), "i", (F.col("i").cast("long") * 20_000_000).alias("t_ns"), (F.col("k") >= 3).alias("valid"), "v", (F.col("k") / 10.0 - 4).alias("accel"))
+    at = F.col("i") * 0.02
+    held = n.filter("label in ('click', 'purchase')").select(F.col("sid").alias("session_id"), (at - 0.05).alias("start"), (at + 0.09).alias("end"), "label", F.struct((F.col("k") % 2).alias("kind"), F.col("i").alias("k")).alias("priority"))
+    return rules.rule_steps(timeline, held, timeline.select("session_id", "t_ns")).select("session_id", "t_ns", "lateral", "longitudinal")
+
+
+@query("snk02_documents", f"WITH {EVENTS}, {spans_sql('gt', 'ev')} SELECT CAST(sid AS VARCHAR) AS session_id, CAST(a * 1000 AS VARCHAR) AS start_ns, CAST(b * 1000 AS VARCHAR) AS end_ns, label AS driving_decision FROM gt")
+def snk02(spark, sf):
+    """Scenes written as documents and read again."""
+    from ..operators import stitch
+    from ..sources.documents import read_written, write_documents
+    from .library_queries import _folder
+
+    found = lift.truth(spark, sf).select(F.col("sid").cast("string").alias("session_id"), (F.col("start") * 1000).alias("start_ns"), (F.col("end") * 1000).alias("end_ns"), F.col("label").alias("lateral"))
+    listed = found.withColumns({"phases": F.array(F.struct("end_ns", F.lit("cruising").alias("decision"))), "lateral_prob": F.lit(1.0), "longitudinal_prob": F.lit(1.0)})
+    sessions = found.groupBy("session_id").agg(F.min("start_ns").alias("session_start"), F.max("end_ns").alias("session_end"))
+    path = _folder(spark)
+    write_documents(stitch.session_documents(listed, sessions), path)
+    return read_written(spark, path).select("session_id", F.explode("scenes").alias("s")).select("session_id", "s.start_ns", "s.end_ns", "s.driving_decision")
