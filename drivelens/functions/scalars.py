@@ -82,13 +82,17 @@ def fixed_text(value: Column, digits: int) -> Column:
     above = (upper * scale - down - 0.5) + lower * scale
     units = whole * scale + down
     units = units + F.when((above > 0) | ((above == 0) & (units % 2 != 0)), 1).otherwise(0)
+    if digits == 0:
+        return units.cast("string")
     return F.concat(F.floor(units / scale).cast("string"), F.lit("."), F.lpad((units % scale).cast("string"), digits, "0"))
 
 
 def signed_text(value: Column, digits: int = 1, unit: str = "") -> Column:
     """A fixed-point number with its sign, never -0, or unknown [FN-15]."""
     known = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
-    return F.when(known, F.format_string(f"%+.{digits}f{unit}", rounded(value, digits))).otherwise("unknown")
+    size = fixed_text(F.abs(value), digits)
+    sign = F.when((value < 0) & F.rlike(size, F.lit("[1-9]")), "-").otherwise("+")
+    return F.when(known, F.concat(sign, size, F.lit(unit))).otherwise("unknown")
 
 
 def signed(value: float | None, digits: int = 1, unit: str = "") -> str:

@@ -7,6 +7,7 @@ import struct
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,10 +83,15 @@ def geopackage_lanes(spark: SparkSession, path: str) -> DataFrame:
     system = dict(table("select key, value from meta", "key string, value string").collect())["projectedCoordSystem"]
     zone = int(system.rsplit(":", 1)[-1]) % 100
 
-    @F.udf("array<struct<x:double,y:double>>")
-    def points(blob):
-        found = geometry_points(bytes(blob))
-        return [(float(x), float(y)) for x, y in utm(found[:, 0], found[:, 1], zone)]
+    @F.arrow_udf("array<struct<x:double,y:double>>")
+    def points(blobs: pa.Array) -> pa.Array:
+        # a null geometry is an empty list here and masked below
+        found = [geometry_points(b) if b is not None else np.zeros((0, 2)) for b in blobs.to_pylist()]
+        ends = np.cumsum([0, *map(len, found)])
+        flat = np.concatenate([np.zeros((0, 2)), *(f[:, :2] for f in found)])
+        metres = utm(flat[:, 0], flat[:, 1], zone)
+        pair = pa.StructArray.from_arrays([pa.array(metres[:, 0]), pa.array(metres[:, 1])], ["x", "y"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pair, mask=blobs.is_null())
 
     line = table("select geom, coalesce(lane_fid, lane_connector_fid) from baseline_paths", "geom binary, id long").select("id", points("geom").alias("centerline"))
     lane = table("select geom, lane_fid, left_boundary_fid, right_boundary_fid from lanes_polygons", "geom binary, id long, lb long, rb long")

@@ -208,5 +208,5 @@ def test_anchors_of_one_observation(spark):
 def test_fixed_text_rounds_binary_values(spark):
     rng = np.random.default_rng(11)
     values = [0.0, 0.005, 0.125, 0.375, 1.005, 2.675, 0.995, 9.995, 99.995, 16416.475, 0.05, 0.25, 0.35, 12345678.905] + [float(v) for v in np.round(rng.uniform(0, 200, 400), 3)] + [float(v) for v in rng.uniform(0, 1e6, 200)] + [k / 8 for k in range(80)]
-    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", scalars.fixed_text(F.col("v"), 1).alias("a"), scalars.fixed_text(F.col("v"), 2).alias("b")).collect()
-    assert [(r["a"], r["b"]) for r in rows] == [(f"{r['v']:.1f}", f"{r['v']:.2f}") for r in rows]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", scalars.fixed_text(F.col("v"), 1).alias("a"), scalars.fixed_text(F.col("v"), 2).alias("b"), scalars.fixed_text(F.col("v"), 0).alias("c"), scalars.signed_text(-F.col("v"), 1, " m").alias("d")).collect()
+    assert [(r["a"], r["b"], r["c"], r["d"]) for r in rows] == [(f"{r['v']:.1f}", f"{r['v']:.2f}", f"{r['v']:.0f}", scalars.signed(-r["v"], 1, " m")) for r in rows]
