@@ -351,3 +351,28 @@ def snk02(spark, sf):
     path = _folder(spark)
     write_documents(stitch.session_documents(listed, sessions), path)
     return read_written(spark, path).select("session_id", F.explode("scenes").alias("s")).select("session_id", "s.start_ns", "s.end_ns", "s.driving_decision")
+
+
+REVIEWED = f"rv AS (SELECT sid, min(t) + {DAY} AS s, min(t) + {4 * DAY} AS e FROM ev WHERE sid % 3 = 0 GROUP BY sid), bo AS (SELECT ev.sid AS session_id, event_id, v, k, CASE WHEN s IS NULL THEN 'none' WHEN t BETWEEN s AND e THEN 'core' WHEN t BETWEEN s - {DAY // 2} AND e + {DAY // 2} THEN 'margin' ELSE 'none' END AS state FROM ev LEFT JOIN rv ON rv.sid = ev.sid)"
+
+
+def _bodies(spark, sf):
+    """Events as bodies; every third session has a review of three days."""
+    from ..operators import review
+
+    e = events(spark, sf).select(F.col("sid").alias("session_id"), F.col("t").alias("t_ns"), "event_id", F.col("v").alias("margin_m"), F.col("k").alias("lane"))
+    reviews = e.filter("session_id % 3 = 0").groupBy("session_id").agg((F.min("t_ns") + DAY).alias("start"), (F.min("t_ns") + 4 * DAY).alias("end")).withColumns({"margin": F.lit(DAY // 2), "chain_id": F.lit("P1"), "source": F.lit("camera")})
+    return review.reviewed_bodies(e, reviews, kept=("event_id",))
+
+
+@query("or06_reviewed_bodies", f"WITH {EVENTS}, {REVIEWED} SELECT session_id, event_id, CASE WHEN state = 'none' THEN v END AS margin_m, CASE state WHEN 'core' THEN 'P1' END AS physical_lane_chain, CASE WHEN state <> 'none' THEN 'camera' END AS lane_evidence_source FROM bo")
+def or06(spark, sf):
+    return _bodies(spark, sf).select("session_id", "event_id", "margin_m", "physical_lane_chain", "lane_evidence_source")
+
+
+@query("ag23_preparation", f"WITH {EVENTS}, {REVIEWED} SELECT session_id, count(*) AS samples, count(*) FILTER (WHERE state = 'core') AS reviewed, CAST(coalesce(sum(length(CAST(k AS VARCHAR))) FILTER (WHERE state = 'none'), 0) AS BIGINT) AS chars, CAST(sum(length(CAST(event_id AS VARCHAR))) AS BIGINT) AS previous_chars FROM bo GROUP BY session_id")
+def ag23(spark, sf):
+    from ..operators import review
+
+    rows = _bodies(spark, sf).withColumn("script", F.col("lane").cast("string")).withColumn("previous", F.col("event_id").cast("string"))
+    return review.preparation_report(rows)

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from drivelens.functions import scalars
-from drivelens.operators import body, camera, describe, geometry, objects, view
+from drivelens.operators import body, camera, describe, geometry, objects, review, view
 from drivelens.sources import logs
 
 S = 1_000_000_000
@@ -210,3 +210,15 @@ def test_fixed_text_rounds_binary_values(spark):
     values = [0.0, 0.005, 0.125, 0.375, 1.005, 2.675, 0.995, 9.995, 99.995, 16416.475, 0.05, 0.25, 0.35, 12345678.905] + [float(v) for v in np.round(rng.uniform(0, 200, 400), 3)] + [float(v) for v in rng.uniform(0, 1e6, 200)] + [k / 8 for k in range(80)]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", scalars.fixed_text(F.col("v"), 1).alias("a"), scalars.fixed_text(F.col("v"), 2).alias("b"), scalars.fixed_text(F.col("v"), 0).alias("c"), scalars.signed_text(-F.col("v"), 1, " m").alias("d")).collect()
     assert [(r["a"], r["b"], r["c"], r["d"]) for r in rows] == [(f"{r['v']:.1f}", f"{r['v']:.2f}", f"{r['v']:.0f}", scalars.signed(-r["v"], 1, " m")) for r in rows]
+
+
+def test_reviewed_bodies_keep_no_measured_geometry(spark):
+    bodies = spark.createDataFrame([("s", t * S, True, float(t)) for t in range(8)] + [("t", 3 * S, False, 9.0)], "session_id string, t_ns long, ego_data_available boolean, share double")
+    reviews = spark.createDataFrame([("s", 3 * S, 4 * S, S, "P1", "camera")], "session_id string, start long, end long, margin long, chain_id string, source string")
+    rows = review.reviewed_bodies(bodies, reviews)
+    got = {(r["session_id"], r["t_ns"] // S): (r["share"], r["physical_lane_chain"], r["physical_lane_ownership_pct"], r["lane_evidence_source"]) for r in rows.collect()}
+    assert got["s", 1] == (1.0, None, None, None) and got["s", 2] == got["s", 5] == (None, None, None, "camera")
+    assert got["s", 3] == got["s", 4] == (None, "P1", 100, "camera") and got["t", 3] == (9.0, None, None, None)
+    assert rows.filter("ego_data_available is null").count() == 0
+    report = review.preparation_report(rows.withColumn("script", F.lit("ab")).withColumn("previous", F.lit("abc"))).orderBy("session_id").collect()
+    assert [tuple(r) for r in report] == [("s", 8, 2, 16, 24), ("t", 1, 0, 2, 3)]
