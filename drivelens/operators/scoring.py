@@ -103,13 +103,16 @@ def score_tags(tags: DataFrame, lateral: DataFrame, longitudinal: DataFrame, che
     checks = TAG_LABELS if checks is None else checks
     sessions = lateral.select("session_id").distinct()
     events = intervals.keep_apart(tags.filter(F.col("kind").isin(*checks)).join(sessions, "session_id", "left_semi"), ["session_id", "kind"], "t_ns", TAG_CLUSTER_NS)
-    rows = events.withColumn("__id", F.struct("session_id", "kind", "t_ns"))
     of = lambda side: [k for k, (s, _) in checks.items() if s == side]
     wanted = F.create_map(*[x for k, (_, labels) in checks.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in labels]))])
-    near = intervals.near_points(rows.filter(F.col("kind").isin(*of("lateral"))), lateral.select("session_id", "start", "end", "label"), ["session_id"], "t_ns", TAG_WINDOW_NS, 60 * schemas.NS)
-    at = intervals.label_at(rows.filter(F.col("kind").isin(*of("longitudinal"))), longitudinal.select("session_id", "start", "end", "label"), ["session_id"], "t_ns", "label")
-    hits = near.select("__id", "kind", "label").unionByName(at.select("__id", "kind", "label")).filter(F.array_contains(wanted[F.col("kind")], F.col("label"))).select("__id").distinct().withColumn("hit", F.lit(1))
-    return rows.join(hits, "__id", "left").groupBy("kind").agg(F.count("*").alias("events"), F.count("hit").alias("found"), share(F.count("hit"), F.count("*")).alias("share"))
+    # a span stands for each kind of tag that asks for its label
+    asked = F.array(*[F.when(F.col("label").isin(*checks[k][1]), k) for k in of("lateral")]).cast("array<string>")
+    expected = lateral.select("session_id", "start", "end", F.explode(F.array_compact(asked)).alias("kind"))
+    near = intervals.any_near(events.filter(F.col("kind").isin(*of("lateral"))), expected, ["session_id", "kind"], "t_ns", TAG_WINDOW_NS, "hit")
+    at = intervals.label_at(events.filter(F.col("kind").isin(*of("longitudinal"))), longitudinal.select("session_id", "start", "end", "label"), ["session_id"], "t_ns", "label")
+    hits = near.select("kind", "hit").unionByName(at.select("kind", F.array_contains(wanted[F.col("kind")], F.col("label")).alias("hit")))
+    found = F.count_if("hit")
+    return hits.groupBy("kind").agg(F.count("*").alias("events"), found.alias("found"), share(found, F.count("*")).alias("share"))
 
 
 def match_maneuvers(truth: DataFrame, run: DataFrame, keys=("session_id",), least: int = OVERLAP_NS) -> DataFrame:

@@ -183,3 +183,15 @@ def test_scalars(spark):
     assert (rows[25]["a"], rows[26]["a"], rows[27]["a"], rows[26]["b"], rows[27]["b"], rows[59]["b"]) == ("Z", "AA", "BB", "AA", "AB", "BH")
     assert scalars.signed(-0.04) == "+0.0" and scalars.signed(None) == "unknown" and scalars.shortest(10.0) == "+10"
     assert scalars.cache_key("{}", "x") != scalars.cache_key("{}", "x", provider="p") and len(scalars.cache_key("{}", "x")) == 64
+
+
+def test_tags_meet_spans_of_any_length(spark):
+    # spans of ten years, which no count of buckets of a minute holds
+    year = 365 * 86400 * S
+    spans = [("a", 0, 10 * year, "turn_left"), ("a", 2 * S, 3 * S, "turn_left"), ("a", 11 * year, 12 * year, "turn_right"), ("b", 100 * S, 200 * S, "turn_left"), ("b", None, 900 * S, "turn_left")]
+    lateral = table(spark, spans, "session_id string, start long, end long, label string")
+    tags = [("a", t, "starting_left_turn") for t in (5 * year, 10 * year + 5 * S, 10 * year + 20 * S, 11 * year + S)] + [("b", t * S, "starting_left_turn") for t in (94, 98, 205, 210)] + [("b", 150 * S, "stationary"), ("c", 0, "stationary")]
+    got = scoring.score_tags(table(spark, tags, "session_id string, t_ns long, kind string"), lateral, lateral.limit(0))
+    assert {tuple(r) for r in got.collect()} == {("starting_left_turn", 8, 4, 0.5), ("stationary", 1, 0, 0.0)}
+    near = intervals.any_near(table(spark, [("a", 5), ("a", 16), ("z", 5)], "k string, t long"), table(spark, [("a", 0, 9), ("a", 1, 2), ("a", 30, 40)], "k string, start long, end long"), ["k"], "t", 6, "near")
+    assert {tuple(r) for r in near.collect()} == {("a", 5, True), ("a", 16, False), ("z", 5, False)}
