@@ -171,11 +171,14 @@ def timeline(ego: DataFrame, step: int, keys: Sequence[str] = ("session_id",), w
 
 
 def lights_ahead(track: DataFrame, keys: Sequence[str], order: str, ids: str, length: str, reach: float = 150.0) -> DataFrame:
-    """track with `ahead`: the lights of the next lane on the path that has any, within `reach` of path, else empty [WN-05]."""
+    """track with `ahead`: the lights of the next lane on the path that has any, within `reach` of path, else empty [WN-05].
+
+    Lengths count to a millionth: what sums of floats round away doesn't decide about a light at the reach itself.
+    """
     ahead = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     some = F.when(F.size(ids) > 0, F.struct(F.col(ids).alias("ids"), F.col(length).alias("s")))
     found = F.last(some, ignorenulls=True).over(ahead)
-    near = found["s"] - F.col(length) <= reach
+    near = F.round(found["s"] - F.col(length), 6) <= reach
     return track.withColumn("ahead", F.when(near, found["ids"]).otherwise(F.array().cast("array<bigint>")))
 
 

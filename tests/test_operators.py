@@ -195,3 +195,15 @@ def test_tags_meet_spans_of_any_length(spark):
     assert {tuple(r) for r in got.collect()} == {("starting_left_turn", 8, 4, 0.5), ("stationary", 1, 0, 0.0)}
     near = intervals.any_near(table(spark, [("a", 5), ("a", 16), ("z", 5)], "k string, t long"), table(spark, [("a", 0, 9), ("a", 1, 2), ("a", 30, 40)], "k string, start long, end long"), ["k"], "t", 6, "near")
     assert {tuple(r) for r in near.collect()} == {("a", 5, True), ("a", 16, False), ("z", 5, False)}
+
+
+def test_lights_at_the_reach_do_not_depend_on_rounding(spark):
+    # lights 150.00 ahead, which running sums of floats miss by their last bits
+    at = np.cumsum([0.07, *[0.1, 74.93, 75.07] * 100])
+    assert (at[3::3] - at[1::3] > 150).any()
+    rows = [("s", i, float(v), [i] if i % 3 == 0 else []) for i, v in enumerate(at)]
+    rows += [("n", i, v, [i] if i == 2 else []) for i, v in enumerate([1.0, float("inf"), float("nan")])] + [("m", 0, 0.0, []), ("m", 1, 150.000001, [1])]
+    got = series.lights_ahead(table(spark, rows, "k string, i int, s double, ids array<long>"), ["k"], "i", "ids", "s")
+    ahead = {(r["k"], r["i"]): list(r["ahead"]) for r in got.collect()}
+    assert all(ahead["s", i] == [-(-i // 3) * 3] for i in range(len(at)))
+    assert ahead["n", 0] == ahead["n", 1] == ahead["n", 2] == ahead["m", 0] == []
