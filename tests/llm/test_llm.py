@@ -495,6 +495,18 @@ def test_copies_that_share_two_keys_are_found(spark):
     assert all(got[2 * i] == got[2 * i + 1] for i in range(len(few)))
 
 
+def test_copies_are_found_without_the_ends_of_buckets(spark, monkeypatch):
+    # as where the smallest and largest images of all buckets are others, which don't agree
+    monkeypatch.setattr(media, "_agreeing_pairs", lambda pairs, found: found.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b")))
+    images = [x for seed in range(3) for one in [np.rint(picture(seed))] for x in (one, *edits(one, seed).values())]
+    n = len(images) // 3
+    expected = [n * (i // n) for i in range(3 * n)]
+    for bytes_of_side in (media.REST_BYTES, 1 << 14):
+        monkeypatch.setattr(media, "REST_BYTES", bytes_of_side)
+        got = {r["image_id"]: r["class_id"] for r in media.find_copies(spark.createDataFrame(rows_of(images), "image_id long, image binary")).collect()}
+        assert [got[i] for i in range(3 * n)] == expected
+
+
 def test_keys_propose_edited_copies():
     pairs = [(one, two) for seed in range(20) for one in [np.rint(picture(seed))] for two in edits(one, seed).values()]
     agree = [p for p in pairs if inliers(*p) >= media.INLIERS]
