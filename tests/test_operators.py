@@ -207,3 +207,25 @@ def test_lights_at_the_reach_do_not_depend_on_rounding(spark):
     ahead = {(r["k"], r["i"]): list(r["ahead"]) for r in got.collect()}
     assert all(ahead["s", i] == [-(-i // 3) * 3] for i in range(len(at)))
     assert ahead["n", 0] == ahead["n", 1] == ahead["n", 2] == ahead["m", 0] == []
+
+
+def test_a_full_cell_meets_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    poses = [(i, float(x), float(y), float(a), None if i % 3 else f"p{i}") for i, (x, y, a) in enumerate(zip(*rng.uniform(0, 8, (2, 700)), rng.uniform(-1, 1, 700), strict=True))]
+    shapes = [[tuple(map(float, p)) for p in np.cumsum(rng.uniform(0, 3, (2 + i % 3, 2)), 0)] for i in range(600)]
+    square = [(2.0, 2.0), (4.0, 2.0), (4.0, 4.0), (2.0, 4.0)]
+    lines = [(i, c, square if i % 50 == 0 else None) for i, c in enumerate(shapes)]
+    p = table(spark, poses, "pose_id long, x double, y double, yaw double, note string").coalesce(1)
+    full = lanes._blocks(p.withColumn("cx", F.lit(0).cast("long")).withColumn("cy", F.lit(0).cast("long")), "poses")
+    sizes = [r[0] for r in full.select(F.size("poses")).collect()]
+    assert sum(sizes) == 700 and max(sizes) == lanes.BLOCK and len(sizes) == 3
+    of = table(spark, lines, "id long, centerline array<struct<x:double,y:double>>, polygon array<struct<x:double,y:double>>")
+    got = {(r["pose_id"], r["lane_id"]): (r["distance"], r["offset"], r["note"]) for r in lanes.candidates(p, of, 1.0, 2.0, 100.0).collect()}
+    x, y, yaw = (np.array([r[k] for r in poses]) for k in (1, 2, 3))
+    expected = {}
+    for i, c, polygon in lines:
+        offset, diff, _ = lanes.project(np.array(c), x, y, yaw)
+        distance = np.abs(offset) if polygon is None else geometry.points_to_polygon(np.column_stack([x, y]), np.array(polygon))
+        expected |= {(j, i): (float(distance[j]), float(offset[j]), poses[j][4]) for j in np.flatnonzero((distance <= 1) & (np.abs(diff) <= 2))}
+    assert len(expected) > 1000 and set(got) == set(expected)
+    assert all(got[k][:2] == pytest.approx(v[:2]) and got[k][2] == v[2] for k, v in expected.items())
