@@ -507,6 +507,33 @@ def test_copies_are_found_without_the_ends_of_buckets(spark, monkeypatch):
         assert [got[i] for i in range(3 * n)] == expected
 
 
+@pytest.mark.parametrize("both, most", [(False, 256), (True, 256), (False, 37), (True, 37)])
+def test_only_pairs_that_may_agree_are_compared_one_by_one(monkeypatch, both, most):
+    monkeypatch.setattr(media, "MOST_AT_ONCE", most)
+    monkeypatch.setattr(media, "PRODUCT", 500)
+    rng = np.random.default_rng(5)
+    images = [media.decode_image(v) for v in media.drawn.func(pa.array(list(rng.normal(size=(70, 64))))).to_pylist()]
+    images += [x for k in range(3) for x in edits(np.rint(picture(k)), k).values()] + [edits(images[k], k)["noise"] for k in range(5)] + [np.full((60, 60), 9.0)]
+    (places, codes), n = zip(*[media.features(x[None].astype(np.float32))[1:] for x in images], strict=True), len(images)
+    short = rng.permutation(n)
+    members = pd.DataFrame({"i": 0, "j": int(both), "block": rng.integers(0, 1 + both, n), "short": short, "node": [b"%d" % k for k in range(n)], "places": [p.tobytes() for p in places], "codes": [c.tobytes() for c in codes]})
+    members["root"] = members["node"]
+    pairs = [(a, b) if short[a] < short[b] else (b, a) for a in range(n) for b in range(a) if not both or members["block"][a] != members["block"][b]]
+    expected = [p for p in pairs if len(np.intersect1d(media._keys(codes[p[0]]), media._keys(codes[p[1]]))) >= media.VOTES and media.agreeing(*(v for k in p for v in (places[k], codes[k]))) >= media.INLIERS]
+    calls, plain = [], media.agreeing
+    monkeypatch.setattr(media, "agreeing", lambda *args: calls.append(1) or plain(*args))
+    found = [(int(a), int(b)) for a, b in media._compare_rest(members).itertuples(index=False)]
+
+    def classes(links):
+        label = np.arange(n)
+        for a, b in links:
+            label[label == label[a]] = label[b]
+        return {frozenset(np.flatnonzero(label == k).tolist()) for k in label}
+
+    assert len(expected) > 8 and set(found) <= set(expected) and classes(found) == classes(expected)
+    assert most < 256 or len(calls) <= len(expected)
+
+
 def test_keys_propose_edited_copies():
     pairs = [(one, two) for seed in range(20) for one in [np.rint(picture(seed))] for two in edits(one, seed).values()]
     agree = [p for p in pairs if inliers(*p) >= media.INLIERS]
