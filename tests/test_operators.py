@@ -229,3 +229,38 @@ def test_a_full_cell_meets_in_blocks(spark):
         expected |= {(j, i): (float(distance[j]), float(offset[j]), poses[j][4]) for j in np.flatnonzero((distance <= 1) & (np.abs(diff) <= 2))}
     assert len(expected) > 1000 and set(got) == set(expected)
     assert all(got[k][:2] == pytest.approx(v[:2]) and got[k][2] == v[2] for k, v in expected.items())
+
+
+def test_the_parts_of_a_full_cell_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(lanes, "POSES", 100)
+    monkeypatch.setattr(lanes, "LANES", 50)
+    rng = np.random.default_rng(7)
+    poses = [(i, float(x), float(y), float(a)) for i, (x, y, a) in enumerate(zip(*rng.uniform(0, 8, (2, 900)), rng.uniform(-1, 1, 900), strict=True))]
+    poses += [(900, 70.0, 70.0, 0.0), (901, None, 0.0, 0.0)]
+    shapes = [[tuple(map(float, p)) for p in np.cumsum(rng.uniform(0, 3, (4, 2)), 0)] for _ in range(400)] + [[(69.0, 70.5), (71.0, 70.5)]]
+    p = table(spark, poses, "pose_id long, x double, y double, yaw double")
+    of = table(spark, [(i, c, None) for i, c in enumerate(shapes)], "id long, centerline array<struct<x:double,y:double>>, polygon array<struct<x:double,y:double>>")
+    cells = of.select(F.col("id").alias("lane_id"), "centerline", "polygon", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"))
+    met = lanes._meet(p.withColumn("cx", F.lit(0).cast("long")).withColumn("cy", F.lit(0).cast("long")), cells, ["pose_id", "x", "y", "yaw"])
+    pairs = met.select(F.explode("poses").alias("p"), "lanes").select(F.col("p.pose_id").alias("i"), F.explode("lanes.lane_id").alias("j"))
+    assert pairs.count() == pairs.distinct().count() == len(poses) * len(shapes)
+    # no block of a pose and a lane is written: the sides are, copied for the parts of the other
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan and "RoundRobin" not in lanes.candidates(p, of)._jdf.queryExecution().executedPlan().toString()
+    got = {(r["pose_id"], r["lane_id"]): (r["distance"], r["offset"], r["heading_diff"]) for r in lanes.candidates(p, of, 1.0, 2.0, 30.0).collect()}
+    x, y, yaw = (np.array([r[k] for r in poses], float) for k in (1, 2, 3))
+    expected = {}
+    for i, c in enumerate(shapes):
+        offset, diff, _ = lanes.project(np.array(c), x, y, yaw)
+        expected |= {(int(j), i): (abs(float(offset[j])), float(offset[j]), float(diff[j])) for j in np.flatnonzero((np.abs(offset) <= 1) & (np.abs(diff) <= 2))}
+    assert len(expected) > 1000 and (900, 400) in expected and got == expected
+
+
+def test_millionths_are_rounded_as_decimals(spark):
+    from drivelens.functions import scalars
+
+    rng = np.random.default_rng(3)
+    values = [0.0, -0.0, -1e-9, 0.0000005, 0.1234565, -0.1234565, 2.5e-6, 1e3, 123456.7890125, 1e12 + 0.5, 1e300, float("inf"), float("nan"), None]
+    values += [float(v) for v in np.r_[rng.uniform(-2, 2, 5000), np.round(rng.uniform(-2, 2, 5000), 6) + 5e-7, rng.uniform(-1e6, 1e6, 1000)]]
+    rows = table(spark, [(v,) for v in values], "v double").select(scalars.millionths(F.col("v")).cast("string").alias("a"), F.round("v", 6).cast("string").alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows]
